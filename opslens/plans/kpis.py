@@ -63,7 +63,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _spark(src: Sources) -> SparkSession:
-    return next(iter(src.tables.values())).sparkSession
+    return src.spark()
 
 
 def kpis_health(src: Sources, days: int = 30, catalogs: tuple[str, ...] = (), *, as_of: AsOf = None) -> DataFrame:

@@ -8,7 +8,7 @@ bind time and not in the middle of a plan.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -134,44 +134,69 @@ def validate(name: str, df: DataFrame) -> None:
         raise SchemaMismatch(f"{name}: " + "; ".join(problems))
 
 
-@dataclass(frozen=True)
+Binding = DataFrame | Callable[[], DataFrame]
+
+
 class Sources:
     """Bound logical sources, each with an optional fixed ``as_of``.
 
-    ``as_of`` per source lets a test fixture (or a replay of historic data)
+    A binding is a DataFrame or a zero-argument function returning one; a
+    function is called (and its result validated) only when a report first
+    asks for that source, so a report reads and analyses just the sources it
+    uses.  ``as_of`` per source lets a fixture (or a replay of historic data)
     pin "now" for that source; otherwise the caller's ``as_of`` applies.
     """
 
-    tables: dict[str, DataFrame] = field(default_factory=dict)
-    clocks: dict[str, AsOf] = field(default_factory=dict)
+    def __init__(self, tables: dict[str, Binding] | None = None, clocks: dict[str, AsOf] | None = None):
+        self._bindings: dict[str, Binding] = dict(tables or {})
+        self._frames: dict[str, DataFrame] = {}
+        self.clocks: dict[str, AsOf] = dict(clocks or {})
+        for name, b in self._bindings.items():
+            if isinstance(b, DataFrame):
+                validate(name, b)
+                self._frames[name] = b
 
-    def bind(self, name: str, df: DataFrame, as_of: AsOf = None) -> "Sources":
+    def bind(self, name: str, df: Binding, as_of: AsOf = None) -> "Sources":
         if name not in SCHEMAS:
             raise KeyError(f"unknown logical source {name!r}; known: {sorted(SCHEMAS)}")
-        validate(name, df)
         clocks = dict(self.clocks)
         if as_of is not None:
             clocks[name] = as_of
-        return Sources({**self.tables, name: df}, clocks)
+        out = Sources({**self._bindings, name: df}, clocks)
+        out._frames.update({k: v for k, v in self._frames.items() if k != name})
+        return out
 
     def __getitem__(self, name: str) -> DataFrame:
-        try:
-            return self.tables[name]
-        except KeyError:
-            raise SourceUnavailable(name) from None
+        if name in self._frames:
+            return self._frames[name]
+        if name not in self._bindings:
+            raise SourceUnavailable(name)
+        df = self._bindings[name]()
+        validate(name, df)
+        self._frames[name] = df
+        return df
+
+    @property
+    def names(self) -> list[str]:
+        return list(self._bindings)
 
     def has(self, name: str) -> bool:
-        return name in self.tables
+        return name in self._bindings
 
     def as_of(self, name: str, default: AsOf = None) -> AsOf:
         """The explicit ``default`` wins; else the source's own clock."""
         return default if default is not None else self.clocks.get(name)
 
+    def spark(self):
+        for name in self._bindings:
+            return self[name].sparkSession
+        raise SourceUnavailable("no source is bound")
+
     def register_views(self, spark, prefix: str = "") -> list[str]:
         """Expose every bound source as a temp view (for custom SQL)."""
         names = []
-        for name, df in self.tables.items():
-            df.createOrReplaceTempView(prefix + name)
+        for name in self._bindings:
+            self[name].createOrReplaceTempView(prefix + name)
             names.append(prefix + name)
         return names
 
