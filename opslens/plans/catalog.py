@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import days_between
-from ..operators import asc, desc, lookback, of_actions, older_than, scope, top_n
+from ..operators import asc, desc, of_actions, older_than, scope, top_n
 from ..params import AsOf
 from ..sources import ACCESS_AUDIT, CATALOG_COLUMNS, CATALOG_TABLES, Sources
 from .vocab import BASE_TABLE, TABLE_READ_ACTIONS
@@ -65,7 +65,7 @@ def catalog_most_accessed(src: Sources, days: int = 30, limit: int | None = 20,
     a = src.as_of(ACCESS_AUDIT, as_of)
     target = F.col("request_params")["full_name_arg"]
     reads = (
-        of_actions(lookback(src[ACCESS_AUDIT], "event_time", a, days=days), TABLE_READ_ACTIONS)
+        of_actions(src.recent(ACCESS_AUDIT, "event_time", a, days=days), TABLE_READ_ACTIONS)
         .select(target.alias("table_name"), "user_name")
         .filter(F.col("table_name").isNotNull())
     )

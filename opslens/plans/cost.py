@@ -4,14 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import asc, desc, lookback, top_n, valid_on_join
+from ..operators import asc, desc, top_n, valid_on_join
 from ..params import AsOf
 from ..sources import BILLING_USAGE, LIST_PRICES, Sources
 
 
 def _usage(src: Sources, days: int, as_of: AsOf) -> DataFrame:
     a = src.as_of(BILLING_USAGE, as_of)
-    return lookback(src[BILLING_USAGE], "usage_date", a, days=days)
+    return src.recent(BILLING_USAGE, "usage_date", a, days=days)
 
 
 def cost_daily_by_sku(

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import asc, desc, lookback, name_pattern_scan, of_actions, scope, top_n, without_match
+from ..operators import asc, desc, name_pattern_scan, of_actions, scope, top_n, without_match
 from ..params import AsOf
 from ..sources import ACCESS_AUDIT, CATALOG_COLUMNS, CATALOG_TABLES, TABLE_PRIVILEGES, Sources
 from .vocab import BASE_TABLE, DDL_ACTIONS, DENIAL_ACTIONS, OWNERSHIP, PII_TOKENS
@@ -50,7 +50,7 @@ def governance_pii_columns(
 def governance_access_anomalies(src: Sources, days: int = 7, limit: int | None = 50, *, as_of: AsOf = None) -> DataFrame:
     """Newest denied-access events."""
     a = src.as_of(ACCESS_AUDIT, as_of)
-    ev = of_actions(lookback(src[ACCESS_AUDIT], "event_time", a, days=days), DENIAL_ACTIONS).select(
+    ev = of_actions(src.recent(ACCESS_AUDIT, "event_time", a, days=days), DENIAL_ACTIONS).select(
         "user_name",
         "action_name",
         F.col("request_params")["full_name_arg"].alias("target_object"),
@@ -65,7 +65,7 @@ def governance_schema_changes(src: Sources, days: int = 30, limit: int | None =
     """Newest DDL events with object and change detail."""
     a = src.as_of(ACCESS_AUDIT, as_of)
     params = F.col("request_params")
-    ev = of_actions(lookback(src[ACCESS_AUDIT], "event_time", a, days=days), DDL_ACTIONS).select(
+    ev = of_actions(src.recent(ACCESS_AUDIT, "event_time", a, days=days), DDL_ACTIONS).select(
         "event_time",
         "user_name",
         "action_name",

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import now, since
-from ..operators import asc, fill_daily_gaps, lookback, scope
+from ..operators import asc, fill_daily_gaps, scope
 from ..params import AsOf
 from ..sources import ACCESS_AUDIT, BILLING_USAGE, CATALOG_TABLES, JOB_RUNS, Sources
 from .vocab import BASE_TABLE, FAILED
@@ -25,7 +25,7 @@ def health_active_users(src: Sources, days: int = 7, *, as_of: AsOf = None, appr
     ``approx=True`` uses HyperLogLog++ (``approx_count_distinct``): constant
     memory per partition instead of a shuffle of the distinct users."""
     a = src.as_of(ACCESS_AUDIT, as_of)
-    ev = lookback(src[ACCESS_AUDIT], "event_time", a, days=days).filter(F.col("user_name").isNotNull())
+    ev = src.recent(ACCESS_AUDIT, "event_time", a, days=days).filter(F.col("user_name").isNotNull())
     count = F.approx_count_distinct("user_name") if approx else F.countDistinct("user_name")
     return ev.agg(count.alias("active_users"))
 
@@ -33,7 +33,7 @@ def health_active_users(src: Sources, days: int = 7, *, as_of: AsOf = None, appr
 def health_failed_jobs(src: Sources, hours: int = 24, *, as_of: AsOf = None) -> DataFrame:
     """Runs in state FAILED started in the last ``hours``."""
     a = src.as_of(JOB_RUNS, as_of)
-    runs = lookback(src[JOB_RUNS], "run_start_time", a, hours=hours).filter(F.col("result_state") == FAILED)
+    runs = src.recent(JOB_RUNS, "run_start_time", a, hours=hours).filter(F.col("result_state") == FAILED)
     return runs.agg(F.count(F.lit(1)).alias("failed_jobs"))
 
 
@@ -50,7 +50,7 @@ def health_dbu_trend(src: Sources, days: int = 14, *, as_of: AsOf = None, fill_g
     a = src.as_of(BILLING_USAGE, as_of)
     u = src[BILLING_USAGE]
     daily = (
-        lookback(u, "usage_date", a, days=days)
+        src.recent(BILLING_USAGE, "usage_date", a, days=days)
         .groupBy("usage_date")
         .agg(F.round(F.sum("usage_quantity"), 2).alias("dbu"))
     )

@@ -5,25 +5,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import micros_between, ratio_half_up
-from ..operators import asc, desc, lookback, share_of_total, status_by_day, top_n
+from ..operators import asc, desc, share_of_total, status_by_day, top_n
 from ..params import AsOf
 from ..sources import JOB_RUNS, JOBS, Sources
 from .vocab import FAILED, SUCCEEDED
 
 
 def _runs(src: Sources, days: int, as_of: AsOf) -> DataFrame:
-    return lookback(src[JOB_RUNS], "run_start_time", src.as_of(JOB_RUNS, as_of), days=days)
+    return src.recent(JOB_RUNS, "run_start_time", as_of, days=days)
 
 
-def _with_job_names(top: DataFrame, src: Sources, key: list[str]) -> DataFrame:
-    """Left-join job names to an already cut top-k frame.
+def _with_job_names(top: DataFrame, src: Sources, key: list[str], bounded: bool) -> DataFrame:
+    """Left-join job names to an already aggregated / cut frame.
 
-    The top-k side has at most ``limit`` rows, so the job definitions are
-    streamed once past it (no shuffle of the definitions).  A job defined
-    more than once keeps its greatest name, so rows never fan out."""
-    names = src[JOBS].select("job_id", F.col("name").alias("__name"))
-    joined = top.join(names, "job_id", "left")
-    return joined.groupBy(*key).agg(F.max("__name").alias("job_name"))
+    With ``bounded`` the frame is a top-k of at most ``limit`` rows (a size
+    bound set by the caller, at most 10,000 in panels): it is broadcast into
+    an inner join that streams the job definitions once, with no shuffle of
+    them; the few matched names are then left-joined back.  Otherwise both
+    sides are shuffled on ``job_id``.  A job defined more than once keeps its
+    greatest name, so rows never fan out."""
+    defs = src[JOBS].select("job_id", F.col("name").alias("__name"))
+    if bounded:
+        ids = F.broadcast(top.select("job_id").distinct())
+        defs = defs.join(ids, "job_id")
+    names = defs.groupBy("job_id").agg(F.max("__name").alias("job_name"))
+    return top.join(names, "job_id", "left")
 
 
 def jobs_success_rate(src: Sources, days: int = 30, *, as_of: AsOf = None) -> DataFrame:
@@ -44,7 +50,7 @@ def jobs_top_failures(src: Sources, days: int = 30, limit: int | None = 20, *, a
     )
     order = desc("failure_count") + asc("job_id")
     top = top_n(per_job, order, limit)
-    named = _with_job_names(top, src, ["job_id", "failure_count", "last_failure"])
+    named = _with_job_names(top, src, ["job_id", "failure_count", "last_failure"], bounded=limit is not None)
     return named.select("job_id", "job_name", "failure_count", "last_failure").orderBy(*order)
 
 
@@ -63,7 +69,9 @@ def jobs_longest_runs(src: Sources, days: int = 30, limit: int | None = 20, *, a
     )
     order = desc("duration_min") + asc("run_id")
     top = top_n(timed, order, limit)
-    named = _with_job_names(top, src, ["job_id", "run_id", "result_state", "duration_min", "run_start_time"])
+    named = _with_job_names(
+        top, src, ["job_id", "run_id", "result_state", "duration_min", "run_start_time"], bounded=limit is not None
+    )
     return named.select("job_id", "job_name", "run_id", "result_state", "duration_min", "run_start_time").orderBy(
         *order
     )

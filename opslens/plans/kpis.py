@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import compact_number, ratio_half_up
-from ..operators import lookback
 from ..params import AsOf
 from ..sources import JOB_RUNS, SourceUnavailable, Sources
 from . import catalog, cost, governance, health
@@ -122,7 +121,7 @@ def kpis_jobs(src: Sources, days: int = 30, *, as_of: AsOf = None) -> DataFrame:
     spark = _spark(src)
 
     def build() -> DataFrame:
-        runs = lookback(src[JOB_RUNS], "run_start_time", src.as_of(JOB_RUNS, as_of), days=days)
+        runs = src.recent(JOB_RUNS, "run_start_time", as_of, days=days)
         agg = runs.agg(
             F.count(F.lit(1)).alias("total"),
             F.count_if(F.col("result_state") == SUCCEEDED).alias("ok_runs"),

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio_half_up
-from ..operators import asc, desc, lookback, top_n
+from ..operators import asc, desc, top_n
 from ..params import AsOf
 from ..sources import QUERY_HISTORY, Sources
 from .vocab import FAILED, FINISHED
@@ -15,7 +15,7 @@ ERROR_KEY_CHARS = 200
 
 
 def _history(src: Sources, days: int, as_of: AsOf) -> DataFrame:
-    return lookback(src[QUERY_HISTORY], "start_time", src.as_of(QUERY_HISTORY, as_of), days=days)
+    return src.recent(QUERY_HISTORY, "start_time", as_of, days=days)
 
 
 def _seconds(ms_col: str) -> F.Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import flag_rows, lookback, trend_glyphs
+from ..operators import flag_rows, trend_glyphs
 from ..functions import preview
 from ..sources import BILLING_USAGE, JOB_RUNS, QUERY_HISTORY
 from ..sources.fixtures import bind_driver_tables
@@ -39,7 +39,7 @@ def _report(name: str) -> Query:
 def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     src = bind_driver_tables(spark, sf_dir)
     daily = (
-        lookback(src[BILLING_USAGE], "usage_date", src.as_of(BILLING_USAGE), days=14)
+        src.recent(BILLING_USAGE, "usage_date", days=14)
         .groupBy("sku_name", "usage_date")
         .agg(F.round(F.sum("usage_quantity"), 2).alias("dbu"))
     )

@@ -16,7 +16,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import lookback
 from ..params import AsOf
 from ..sources import BILLING_USAGE, Sources
 
@@ -26,7 +25,7 @@ KEYS = ("usage_date", "sku_name", "cluster_name", "cluster_id", "job_id", "run_a
 def usage_daily(src: Sources, days: int, *, as_of: AsOf = None) -> DataFrame:
     """Usage summed per date and reporting key over the last ``days``."""
     a = src.as_of(BILLING_USAGE, as_of)
-    u = lookback(src[BILLING_USAGE], "usage_date", a, days=days)
+    u = src.recent(BILLING_USAGE, "usage_date", a, days=days)
     return u.groupBy(
         "usage_date",
         "sku_name",

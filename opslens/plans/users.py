@@ -4,14 +4,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import asc, desc, last_seen_between, lookback, of_actions, top_n
+from ..operators import asc, desc, last_seen_between, of_actions, top_n
 from ..params import AsOf
 from ..sources import ACCESS_AUDIT, Sources
 from .vocab import PERMISSION_ACTIONS, QUERY_ACTIONS, TABLE_ACCESS_ACTIONS
 
 
 def _audit(src: Sources, days: int, as_of: AsOf) -> DataFrame:
-    return lookback(src[ACCESS_AUDIT], "event_time", src.as_of(ACCESS_AUDIT, as_of), days=days)
+    return src.recent(ACCESS_AUDIT, "event_time", as_of, days=days)
 
 
 def users_top_by_queries(src: Sources, days: int = 30, limit: int | None = 20, *, as_of: AsOf = None) -> DataFrame:
@@ -53,9 +53,12 @@ def users_inactive(
     One aggregation pass (``max(event_time)`` per user) instead of two scans
     and a ``NOT IN``.  NULL users are ignored unless ``null_aware=True``,
     which reproduces the ``NOT IN`` semantics exactly."""
+    if lookback_days <= days:
+        raise ValueError("lookback_days must be longer than days")
     a = src.as_of(ACCESS_AUDIT, as_of)
+    window = src.recent(ACCESS_AUDIT, "event_time", a, days=lookback_days)  # prunes date partitions
     idle = last_seen_between(
-        src[ACCESS_AUDIT], "user_name", "event_time", inner=days, outer=lookback_days, as_of=a, null_aware=null_aware
+        window, "user_name", "event_time", inner=days, outer=lookback_days, as_of=a, null_aware=null_aware
     )
     return idle.select("user_name", "last_seen", "days_inactive").orderBy(*desc("days_inactive"), *asc("user_name"))
 

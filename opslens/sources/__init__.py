@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..params import AsOf
@@ -147,22 +148,40 @@ class Sources:
     pin "now" for that source; otherwise the caller's ``as_of`` applies.
     """
 
-    def __init__(self, tables: dict[str, Binding] | None = None, clocks: dict[str, AsOf] | None = None):
+    def __init__(
+        self,
+        tables: dict[str, Binding] | None = None,
+        clocks: dict[str, AsOf] | None = None,
+        partitions: dict[str, dict[str, str]] | None = None,
+    ):
         self._bindings: dict[str, Binding] = dict(tables or {})
         self._frames: dict[str, DataFrame] = {}
         self.clocks: dict[str, AsOf] = dict(clocks or {})
+        self.partitions: dict[str, dict[str, str]] = {k: dict(v) for k, v in (partitions or {}).items()}
         for name, b in self._bindings.items():
             if isinstance(b, DataFrame):
                 validate(name, b)
                 self._frames[name] = b
 
-    def bind(self, name: str, df: Binding, as_of: AsOf = None) -> "Sources":
+    def bind(
+        self, name: str, df: Binding, as_of: AsOf = None, date_partitions: dict[str, str] | None = None
+    ) -> "Sources":
+        """Bind ``name`` to ``df``.
+
+        ``date_partitions`` maps a time column to the date column the table is
+        partitioned on (``{"event_time": "event_date"}``, the date of the
+        time); look-backs on the time column then also filter the date
+        column, which prunes whole partitions before any file is opened."""
         if name not in SCHEMAS:
             raise KeyError(f"unknown logical source {name!r}; known: {sorted(SCHEMAS)}")
         clocks = dict(self.clocks)
         if as_of is not None:
             clocks[name] = as_of
-        out = Sources({**self._bindings, name: df}, clocks)
+        partitions = dict(self.partitions)
+        partitions.pop(name, None)  # hints belong to the replaced binding
+        if date_partitions:
+            partitions[name] = dict(date_partitions)
+        out = Sources({**self._bindings, name: df}, clocks, partitions)
         out._frames.update({k: v for k, v in self._frames.items() if k != name})
         return out
 
@@ -187,6 +206,24 @@ class Sources:
         """The explicit ``default`` wins; else the source's own clock."""
         return default if default is not None else self.clocks.get(name)
 
+    def recent(self, name: str, col: str, as_of: AsOf = None, days: int = 0, hours: int = 0) -> DataFrame:
+        """Rows of ``name`` with ``col >= as_of - days - hours``.
+
+        The bound is a constant of the column's type (a pushed Parquet
+        filter); when the source declared a date partition for ``col`` the
+        implied ``partition >= date(bound)`` is added for partition pruning."""
+        from ..functions import since
+        from ..operators import lookback
+
+        df = self[name]
+        a = self.as_of(name, as_of)
+        out = lookback(df, col, a, days=days, hours=hours)
+        pcol = self.partitions.get(name, {}).get(col)
+        if pcol:
+            bound = since(a, T.DateType(), days=days, hours=hours)
+            out = out.filter(F.col(pcol) >= bound.cast(df.schema[pcol].dataType))
+        return out
+
     def spark(self):
         for name in self._bindings:
             return self[name].sparkSession

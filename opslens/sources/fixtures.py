@@ -83,6 +83,9 @@ COLUMN_KINDS = (
     ("qty", "int"),
 )
 
+# Run result state by order status.
+RUN_STATES = (("F", "FAILED"), ("O", "SUCCEEDED"), ("P", "CANCELED"))
+
 # query_history joins documents on doc_id = event_id % STATEMENT_DOCS.
 STATEMENT_DOCS = 200
 
@@ -96,6 +99,15 @@ def _ntz(text: str | None) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
+def _decode(col: Column, pairs) -> Column:
+    """CASE col WHEN k THEN v ... END: comparisons on the result fold back
+    onto ``col`` (and reach the scan), which a map lookup would not."""
+    out = F.lit(None).cast("string")
+    for k, v in reversed(pairs):  # nested IFs simplify branch by branch
+        out = F.when(col == k, v).otherwise(out)
+    return out
+
+
 def _user_name(user_id: Column) -> Column:
     return F.when(user_id % 25 != 0, _s("user_", user_id))
 
@@ -221,9 +233,7 @@ def job_runs(t: dict[str, DataFrame]) -> DataFrame:
     return o.select(
         key.alias("run_id"),
         _s("j-", F.col("o_custkey") % 50).alias("job_id"),
-        F.create_map(
-            F.lit("F"), F.lit("FAILED"), F.lit("O"), F.lit("SUCCEEDED"), F.lit("P"), F.lit("CANCELED")
-        )[F.col("o_orderstatus")].alias("result_state"),
+        _decode(F.col("o_orderstatus"), RUN_STATES).alias("result_state"),
         F.col("o_orderdate").alias("run_start_time"),
         F.when(key % 5 != 0, end).alias("run_end_time"),
     )
