@@ -107,12 +107,20 @@ def micros_between(start: Column | str, end: Column | str) -> Column:
 ELLIPSIS = "…"
 
 
+def longer_than(col: Column, n: int) -> Column:
+    """``length(col) > n``, decided from the first ``n + 1`` characters.
+
+    Exactly the same predicate; it just stops counting once the answer is
+    known instead of walking a long text to its end."""
+    return F.length(F.left(col, F.lit(n + 1))) > n
+
+
 def preview(col: Column | str, n: int = 80) -> Column:
     """Text cut to ``n`` characters plus an ellipsis; NULL becomes ''."""
     c = (F.col(col) if isinstance(col, str) else col).cast("string")
     return (
         F.when(c.isNull(), F.lit(""))
-        .when(F.length(c) > n, F.concat(F.left(c, F.lit(n)), F.lit(ELLIPSIS)))
+        .when(longer_than(c, n), F.concat(F.left(c, F.lit(n)), F.lit(ELLIPSIS)))
         .otherwise(c)
     )
 
@@ -184,6 +192,7 @@ __all__ = [
     "compact_number",
     "days_between",
     "glyph",
+    "longer_than",
     "micros_between",
     "now",
     "parse_as_of",

@@ -9,6 +9,7 @@ turn into broadcast joins once it has measured the smaller side.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,7 +68,7 @@ def name_pattern_scan(
 
     ``whole_token`` requires the token to be delimited by ``_`` or the ends
     of the name (``trace_id`` then no longer matches ``race``)."""
-    alternation = "|".join(tokens)
+    alternation = "|".join(re.escape(t) for t in tokens)
     pattern = f"(^|_)({alternation})(_|$)" if whole_token else f"({alternation})"
     return df.filter(F.lower(F.col(col)).rlike(pattern))
 

@@ -21,6 +21,6 @@ def custom_report(
 
     Parameters go through Spark's named parameter markers (``:name``), never
     through string splicing.  ``limit`` caps the rows, as a panel's row cap."""
-    src.register_views(spark)
+    src.register_views(spark, only_in=sql)
     df = spark.sql(sql.strip(), args=dict(args) if args else None)
     return df.limit(limit) if limit is not None else df

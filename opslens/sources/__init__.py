@@ -8,6 +8,7 @@ bind time and not in the middle of a plan.
 """
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -229,12 +230,19 @@ class Sources:
             return self[name].sparkSession
         raise SourceUnavailable("no source is bound")
 
-    def register_views(self, spark, prefix: str = "") -> list[str]:
-        """Expose every bound source as a temp view (for custom SQL)."""
+    def register_views(self, spark, prefix: str = "", only_in: str | None = None) -> list[str]:
+        """Expose bound sources as temp views (for custom SQL).
+
+        With ``only_in`` (a SQL text) only the sources whose view name occurs
+        in it as a word are built and registered, so a query touching one
+        source does not open the other eight."""
         names = []
         for name in self._bindings:
-            self[name].createOrReplaceTempView(prefix + name)
-            names.append(prefix + name)
+            view = prefix + name
+            if only_in is not None and not re.search(rf"\b{re.escape(view)}\b", only_in, re.IGNORECASE):
+                continue
+            self[name].createOrReplaceTempView(view)
+            names.append(view)
         return names
 
 

@@ -114,3 +114,33 @@ def test_streaming_variants(spark, src_small):
     q2.processAllAvailable()
     q2.stop()
     assert spark.table("daily").agg(F.sum("events")).first()[0] == audit.count()
+
+
+def test_date_partition_pruning(spark, src_small):
+    audit = src_small[ACCESS_AUDIT].withColumn("event_date", F.to_date("event_time"))
+    folder = os.path.join(tempfile.mkdtemp(prefix="opslens-part-"), "audit")
+    audit.write.partitionBy("event_date").parquet(folder)
+    stored = spark.read.parquet(folder)
+    plain = Sources().bind(ACCESS_AUDIT, stored, as_of="2024-01-31 00:00:00")
+    pruned = Sources().bind(ACCESS_AUDIT, stored, as_of="2024-01-31 00:00:00",
+                            date_partitions={"event_time": "event_date"})
+    fn = REPORTS["users_top_by_queries"]
+    plan = pruned.recent(ACCESS_AUDIT, "event_time", days=7)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and "event_date#" in plan
+    assert sorted(map(tuple, fn(plain).collect())) == sorted(map(tuple, fn(pruned).collect()))
+    assert fn(pruned).count() > 0
+
+
+def test_report_properties(spark, src_small):
+    """Shares sum to the total; daily volume sums to the same total; a cap
+    of n is a prefix of a cap of n + 1."""
+    rates = REPORTS["jobs_success_rate"](src_small).collect()
+    total = sum(r["run_count"] for r in rates)
+    assert abs(sum(r["pct"] for r in rates) - 100) <= 0.1 * len(rates)
+    volume = REPORTS["jobs_daily_run_volume"](src_small).collect()
+    assert sum(r["total_runs"] for r in volume) == total
+    assert all(r["succeeded"] + r["failed"] <= r["total_runs"] for r in volume)
+    for name in ("users_top_by_queries", "governance_pii_columns", "queries_slowest", "cost_top_clusters"):
+        small = REPORTS[name](src_small, limit=5).collect()
+        big = REPORTS[name](src_small, limit=6).collect()
+        assert big[:5] == small
