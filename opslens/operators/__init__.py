@@ -106,11 +106,16 @@ def share_of_total(
 ) -> DataFrame:
     """Row count per key and its percentage of all rows (HALF_UP, ``scale``).
 
-    The total is a window over the *aggregated* frame, so only one row per
-    key (a handful of states) moves to the single window partition."""
+    The grand total is a scalar subquery (a distributed partial/final count,
+    evaluated once and inlined as a constant), not a key-less window, so no
+    step funnels the groups through a single task however many keys exist."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
-    total = F.sum(count_col).over(Window.partitionBy())
-    return counts.withColumn(pct_col, ratio_half_up(F.col(count_col) * F.lit(100), total, scale))
+    total = df.agg(F.count(F.lit(1)).alias("__total")).scalar()
+    return (
+        counts.withColumn("__total", total)
+        .withColumn(pct_col, ratio_half_up(F.col(count_col) * F.lit(100), F.col("__total"), scale))
+        .drop("__total")
+    )
 
 
 def status_by_day(

@@ -15,11 +15,19 @@ def _runs(src: Sources, days: int, as_of: AsOf) -> DataFrame:
     return src.recent(JOB_RUNS, "run_start_time", as_of, days=days)
 
 
+# Largest top-k side that is broadcast to fetch job names (rows).
+BROADCAST_TOP_K_MAX = 100_000
+
+
+def _bounded(limit: int | None) -> bool:
+    return limit is not None and limit <= BROADCAST_TOP_K_MAX
+
+
 def _with_job_names(top: DataFrame, src: Sources, key: list[str], bounded: bool) -> DataFrame:
     """Left-join job names to an already aggregated / cut frame.
 
-    With ``bounded`` the frame is a top-k of at most ``limit`` rows (a size
-    bound set by the caller, at most 10,000 in panels): it is broadcast into
+    With ``bounded`` the frame is a top-k of at most ``limit`` rows (at most
+    ``BROADCAST_TOP_K_MAX``; 20 in the panels): it is broadcast into
     an inner join that streams the job definitions once, with no shuffle of
     them; the few matched names are then left-joined back.  Otherwise both
     sides are shuffled on ``job_id``.  A job defined more than once keeps its
@@ -50,7 +58,7 @@ def jobs_top_failures(src: Sources, days: int = 30, limit: int | None = 20, *, a
     )
     order = desc("failure_count") + asc("job_id")
     top = top_n(per_job, order, limit)
-    named = _with_job_names(top, src, ["job_id", "failure_count", "last_failure"], bounded=limit is not None)
+    named = _with_job_names(top, src, ["job_id", "failure_count", "last_failure"], bounded=_bounded(limit))
     return named.select("job_id", "job_name", "failure_count", "last_failure").orderBy(*order)
 
 
@@ -70,7 +78,7 @@ def jobs_longest_runs(src: Sources, days: int = 30, limit: int | None = 20, *, a
     order = desc("duration_min") + asc("run_id")
     top = top_n(timed, order, limit)
     named = _with_job_names(
-        top, src, ["job_id", "run_id", "result_state", "duration_min", "run_start_time"], bounded=limit is not None
+        top, src, ["job_id", "run_id", "result_state", "duration_min", "run_start_time"], bounded=_bounded(limit)
     )
     return named.select("job_id", "job_name", "run_id", "result_state", "duration_min", "run_start_time").orderBy(
         *order
