@@ -7,6 +7,7 @@ cover all of the fixture data).
 """
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import flag_rows, trend_glyphs
 from ..functions import preview
-from ..sources import BILLING_USAGE, JOB_RUNS, QUERY_HISTORY
+from ..sources import BILLING_USAGE, JOB_RUNS, QUERY_HISTORY, Sources
 from ..sources.fixtures import bind_driver_tables
 from . import REPORTS, catalog, custom, kpis
 
@@ -30,14 +31,28 @@ SCOPED_CATALOGS = ("PROMO", "SMALL")
 REPORT_ARGS = {"users_inactive": {"days": 7, "lookback_days": 90}}
 
 
+# Sources bound once per session and folder, as a user binds them once and
+# then runs many reports.  Only lazy plans are kept: every run re-reads the
+# Parquet files, nothing is cached in memory.
+_BOUND: "weakref.WeakKeyDictionary[SparkSession, dict[str, Sources]]" = weakref.WeakKeyDictionary()
+
+
+def bound(spark: SparkSession, sf_dir: str) -> Sources:
+    per_session = _BOUND.setdefault(spark, {})
+    key = sf_dir.rstrip("/")
+    if key not in per_session:
+        per_session[key] = bind_driver_tables(spark, key)
+    return per_session[key]
+
+
 def _report(name: str) -> Query:
     fn = REPORTS[name]
     args = REPORT_ARGS.get(name, {})
-    return lambda spark, sf_dir: fn(bind_driver_tables(spark, sf_dir), **args)
+    return lambda spark, sf_dir: fn(bound(spark, sf_dir), **args)
 
 
 def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = bind_driver_tables(spark, sf_dir)
+    src = bound(spark, sf_dir)
     daily = (
         src.recent(BILLING_USAGE, "usage_date", days=14)
         .groupBy("sku_name", "usage_date")
@@ -47,31 +62,31 @@ def _trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = bind_driver_tables(spark, sf_dir)[JOB_RUNS].select("run_id", "result_state")
+    runs = bound(spark, sf_dir)[JOB_RUNS].select("run_id", "result_state")
     return flag_rows(runs, "result_state")
 
 
 def _preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = bind_driver_tables(spark, sf_dir)[QUERY_HISTORY]
+    q = bound(spark, sf_dir)[QUERY_HISTORY]
     return q.select("start_time", "user_name", preview("statement_text", 80).alias("preview"))
 
 
 def _custom(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return custom.custom_report(spark, bind_driver_tables(spark, sf_dir), CUSTOM_SQL, limit=500)
+    return custom.custom_report(spark, bound(spark, sf_dir), CUSTOM_SQL, limit=500)
 
 
 QUERIES: dict[str, Query] = {name: _report(name) for name in REPORTS}
 QUERIES.update(
     {
-        "kpis_health": lambda spark, d: kpis.kpis_health(bind_driver_tables(spark, d)),
-        "kpis_cost": lambda spark, d: kpis.kpis_cost(bind_driver_tables(spark, d)),
-        "kpis_catalog": lambda spark, d: kpis.kpis_catalog(bind_driver_tables(spark, d)),
-        "kpis_jobs": lambda spark, d: kpis.kpis_jobs(bind_driver_tables(spark, d)),
-        "kpis_governance": lambda spark, d: kpis.kpis_governance(bind_driver_tables(spark, d)),
+        "kpis_health": lambda spark, d: kpis.kpis_health(bound(spark, d)),
+        "kpis_cost": lambda spark, d: kpis.kpis_cost(bound(spark, d)),
+        "kpis_catalog": lambda spark, d: kpis.kpis_catalog(bound(spark, d)),
+        "kpis_jobs": lambda spark, d: kpis.kpis_jobs(bound(spark, d)),
+        "kpis_governance": lambda spark, d: kpis.kpis_governance(bound(spark, d)),
         "custom_report": _custom,
         "flag_rows": _flag,
         "trend_glyphs": _trend,
         "preview": _preview,
-        "scope": lambda spark, d: catalog.catalog_tables_by_schema(bind_driver_tables(spark, d), SCOPED_CATALOGS),
+        "scope": lambda spark, d: catalog.catalog_tables_by_schema(bound(spark, d), SCOPED_CATALOGS),
     }
 )

@@ -57,3 +57,21 @@ def audit_daily_counts(audit: DataFrame, watermark: str = "1 day") -> DataFrame:
             "last_seen",
         )
     )
+
+
+def start(df: DataFrame, name: str, fmt: str = "parquet", path: str | None = None, mode: str = "append",
+          checkpoint: str | None = None, trigger: dict | None = None):
+    """Start ``df`` as a streaming query whose progress and state live under
+    the session's ``spark.checkpoint.dir`` (a shared folder on a cluster), so
+    a restarted driver or lost executors resume where the stream left off."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    location = checkpoint or (f"{base.rstrip('/')}/streams/{name}" if base else None)
+    if location is None:
+        raise ValueError("set spark.checkpoint.dir or pass checkpoint=")
+    writer = df.writeStream.format(fmt).outputMode(mode).queryName(name).option("checkpointLocation", location)
+    if path is not None:
+        writer = writer.option("path", path)
+    if trigger:
+        writer = writer.trigger(**trigger)
+    return writer.start()

@@ -15,7 +15,7 @@ from opslens.plans.panels import run_all, run_panel
 from opslens.plans.rollups import with_usage_rollup
 from opslens.sources import ACCESS_AUDIT, JOB_RUNS, Sources
 from opslens.sources.sinks import read_report, write_report
-from opslens.streaming import audit_daily_counts, denial_feed
+from opslens.streaming import audit_daily_counts, denial_feed, start
 
 
 def test_params_bounds():
@@ -103,12 +103,14 @@ def test_streaming_variants(spark, src_small):
     audit.write.parquet(folder)
     stream = spark.readStream.schema(audit.schema).parquet(folder)
 
-    q1 = denial_feed(stream).writeStream.format("memory").queryName("denials").outputMode("append").start()
+    out = os.path.join(tempfile.mkdtemp(prefix="opslens-stream-"), "denials")
+    q1 = start(denial_feed(stream), "denials_feed", fmt="parquet", path=out)
     q1.processAllAvailable()
     q1.stop()
     batch = audit.filter(F.col("action_name").isin(
         "databricksSqlPermissionsDenied", "unauthorizedAccess", "accessDenied")).count()
-    assert spark.table("denials").count() == batch
+    assert spark.read.parquet(out).count() == batch
+    assert os.path.isdir(os.path.join(spark.conf.get("spark.checkpoint.dir"), "streams", "denials_feed"))
 
     q2 = audit_daily_counts(stream).writeStream.format("memory").queryName("daily").outputMode("complete").start()
     q2.processAllAvailable()
