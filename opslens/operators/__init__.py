@@ -278,10 +278,12 @@ def fill_daily_gaps(
     df: DataFrame, date_col: str, start: Column, end: Column, fill: dict[str, object]
 ) -> DataFrame:
     """Add missing dates between ``start`` and ``end`` (inclusive) with
-    ``fill`` values: a generated calendar left-joined to the data."""
+    ``fill`` values.  A generated calendar (one row per date, at most the
+    look-back's length) is full-outer-joined to the data, so dates outside
+    the range (future-dated rows) are kept, not dropped."""
     spark = df.sparkSession
     calendar = spark.range(1).select(F.explode(F.sequence(start, end)).alias(date_col))
-    joined = calendar.join(df, date_col, "left")
+    joined = calendar.join(df, date_col, "full")
     return joined.select(
         date_col,
         *[

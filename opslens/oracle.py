@@ -475,5 +475,42 @@ FROM catalog_tables WHERE table_type = 'BASE TABLE' AND table_catalog IN ('PROMO
 GROUP BY table_catalog, table_schema""", "catalog_tables")
 
 
+# ---------------------------------------------------------------------------
+# Report options and rollup-fed reports
+# ---------------------------------------------------------------------------
+
+Q["health_dbu_trend_filled"] = with_sources(f"""
+, daily AS (
+  SELECT usage_date, ROUND(SUM(usage_quantity), 2) AS dbu FROM billing_usage
+  WHERE usage_date >= {_lb(USAGE_TODAY, 14)} GROUP BY usage_date),
+calendar AS (
+  SELECT CAST(d AS DATE) AS usage_date
+  FROM generate_series({_lb(USAGE_TODAY, 14)}, CAST({USAGE_TODAY} AS TIMESTAMP), INTERVAL 1 DAY) g(d))
+SELECT COALESCE(c.usage_date, t.usage_date) AS usage_date, COALESCE(t.dbu, 0.0) AS dbu
+FROM calendar c FULL OUTER JOIN daily t ON t.usage_date = c.usage_date""", "billing_usage").replace(
+    ")\n, daily", "),\ndaily")
+
+Q["cost_daily_by_sku_all_prices"] = Q["cost_daily_by_sku"]
+
+# NOT IN over a subquery is null-aware in SQL: the reference semantics.
+Q["users_inactive_null_aware"] = with_sources(f"""
+, active AS (
+  SELECT DISTINCT user_name FROM access_audit WHERE event_time >= {_lb(AUDIT_NOW, 7)}),
+all_users AS (
+  SELECT user_name, MAX(event_time) AS last_seen FROM access_audit
+  WHERE event_time >= {_lb(AUDIT_NOW, 90)} GROUP BY user_name)
+SELECT a.user_name, a.last_seen, CAST(datediff('day', a.last_seen, {AUDIT_NOW}) AS BIGINT) AS days_inactive
+FROM all_users a WHERE a.user_name NOT IN (SELECT user_name FROM active)""", "access_audit")
+
+Q["governance_pii_columns_whole_token"] = with_sources(f"""
+SELECT table_catalog, table_schema, table_name, column_name, data_type
+FROM catalog_columns WHERE regexp_matches(lower(column_name), '(^|_)({"|".join(PII_TOKENS)})(_|$)')
+ORDER BY {NAMES_ASC}, column_name ASC NULLS FIRST, data_type ASC NULLS FIRST LIMIT 200""", "catalog_columns")
+
+for _name in ("health_dbu_today", "health_dbu_trend", "cost_daily_by_sku", "cost_top_clusters", "cost_top_jobs",
+              "cost_top_users_by_dbu", "cost_burn_rate"):
+    Q[f"{_name}_rollup"] = Q[_name]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

@@ -18,6 +18,7 @@ from ..functions import preview
 from ..sources import BILLING_USAGE, JOB_RUNS, QUERY_HISTORY, Sources
 from ..sources.fixtures import bind_driver_tables
 from . import REPORTS, catalog, custom, kpis
+from .rollups import with_usage_rollup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +76,19 @@ def _custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return custom.custom_report(spark, bound(spark, sf_dir), CUSTOM_SQL, limit=500)
 
 
+def _variant(name: str, **kwargs) -> Query:
+    fn = REPORTS[name]
+    return lambda spark, sf_dir: fn(bound(spark, sf_dir), **kwargs)
+
+
+def _rolled(name: str) -> Query:
+    """A usage report fed by the daily usage rollup (checkpointed once)."""
+    fn = REPORTS[name]
+    return lambda spark, sf_dir: fn(with_usage_rollup(bound(spark, sf_dir), ROLLUP_DAYS))
+
+
+ROLLUP_DAYS = 30
+
 QUERIES: dict[str, Query] = {name: _report(name) for name in REPORTS}
 QUERIES.update(
     {
@@ -88,5 +102,18 @@ QUERIES.update(
         "trend_glyphs": _trend,
         "preview": _preview,
         "scope": lambda spark, d: catalog.catalog_tables_by_schema(bound(spark, d), SCOPED_CATALOGS),
+        # report options
+        "health_dbu_trend_filled": _variant("health_dbu_trend", fill_gaps=True),
+        "cost_daily_by_sku_all_prices": _variant("cost_daily_by_sku", price_dedup="all"),
+        "users_inactive_null_aware": _variant("users_inactive", days=7, lookback_days=90, null_aware=True),
+        "governance_pii_columns_whole_token": _variant("governance_pii_columns", whole_token=True),
+        # usage reports over the shared daily rollup
+        "health_dbu_today_rollup": _rolled("health_dbu_today"),
+        "health_dbu_trend_rollup": _rolled("health_dbu_trend"),
+        "cost_daily_by_sku_rollup": _rolled("cost_daily_by_sku"),
+        "cost_top_clusters_rollup": _rolled("cost_top_clusters"),
+        "cost_top_jobs_rollup": _rolled("cost_top_jobs"),
+        "cost_top_users_by_dbu_rollup": _rolled("cost_top_users_by_dbu"),
+        "cost_burn_rate_rollup": _rolled("cost_burn_rate"),
     }
 )

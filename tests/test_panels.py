@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,13 +105,14 @@ def test_streaming_variants(spark, src_small):
     stream = spark.readStream.schema(audit.schema).parquet(folder)
 
     out = os.path.join(tempfile.mkdtemp(prefix="opslens-stream-"), "denials")
-    q1 = start(denial_feed(stream), "denials_feed", fmt="parquet", path=out)
+    name = f"denials_feed_{uuid.uuid4().hex[:8]}"  # a reused name resumes that stream's checkpoint
+    q1 = start(denial_feed(stream), name, fmt="parquet", path=out)
     q1.processAllAvailable()
     q1.stop()
     batch = audit.filter(F.col("action_name").isin(
         "databricksSqlPermissionsDenied", "unauthorizedAccess", "accessDenied")).count()
     assert spark.read.parquet(out).count() == batch
-    assert os.path.isdir(os.path.join(spark.conf.get("spark.checkpoint.dir"), "streams", "denials_feed"))
+    assert os.path.isdir(os.path.join(spark.conf.get("spark.checkpoint.dir"), "streams", name))
 
     q2 = audit_daily_counts(stream).writeStream.format("memory").queryName("daily").outputMode("complete").start()
     q2.processAllAvailable()

@@ -124,7 +124,8 @@ def test_lookback_includes_first_date_and_future(spark):
     burn = plans.cost_burn_rate(src, 30, as_of="2024-01-31").first()
     assert burn["total_dbu"] == 101.0 and burn["active_days"] == 2  # Jan 1 in, Dec 31 out, future in
     trend = plans.health_dbu_trend(src, 30, as_of="2024-01-31", fill_gaps=True).collect()
-    assert len(trend) == 31 and trend[0]["usage_date"] == date(2024, 1, 1) and trend[1]["dbu"] == 0.0
+    assert len(trend) == 32 and trend[0]["usage_date"] == date(2024, 1, 1) and trend[1]["dbu"] == 0.0
+    assert trend[-1]["usage_date"] == date(2024, 2, 5) and trend[-1]["dbu"] == 100.0  # future row kept
 
 
 def test_empty_usage(spark):
