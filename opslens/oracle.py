@@ -508,7 +508,8 @@ FROM catalog_columns WHERE regexp_matches(lower(column_name), '(^|_)({"|".join(P
 ORDER BY {NAMES_ASC}, column_name ASC NULLS FIRST, data_type ASC NULLS FIRST LIMIT 200""", "catalog_columns")
 
 for _name in ("health_dbu_today", "health_dbu_trend", "cost_daily_by_sku", "cost_top_clusters", "cost_top_jobs",
-              "cost_top_users_by_dbu", "cost_burn_rate"):
+              "cost_top_users_by_dbu", "cost_burn_rate", "health_active_users", "users_top_by_queries",
+              "users_top_by_tables_accessed", "users_inactive", "catalog_most_accessed"):
     Q[f"{_name}_rollup"] = Q[_name]
 
 

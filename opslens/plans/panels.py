@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import parse_as_of
 from ..params import Params
-from ..sources import SourceUnavailable, Sources
-from . import catalog, cost, custom, governance, health, jobs, kpis, queries, users
+from ..sources import ACCESS_AUDIT, BILLING_USAGE, SourceUnavailable, Sources
+from . import catalog, cost, custom, governance, health, jobs, kpis, queries, rollups, users
 
 STATUS_SCHEMA = "panel string, report string, status string, message string"
 
@@ -104,8 +106,40 @@ class PanelResult:
     status: DataFrame
 
 
-def run_panel(spark: SparkSession, panel: str, src: Sources, params: Params | None = None) -> PanelResult:
-    """All reports of ``panel`` (capped as the panel shows them) and its KPIs."""
+def _shared(panel: str, src: Sources, p: Params, defs: dict) -> tuple[Sources, dict]:
+    """Swap in rollup-fed builders: the panel's usage reports read one
+    checkpointed daily usage rollup, its audit reports one audit rollup, so
+    the raw tables are scanned once per panel load instead of once per report.
+    Falls back to the raw reports where a rollup does not apply (no source, or
+    an ``as_of`` that is not at midnight for the audit rollup)."""
+    d = p.days
+    if panel in ("health", "cost") and src.has(BILLING_USAGE):
+        src = rollups.with_usage_rollup(src, d, as_of=p.as_of)
+    audit_days = {"health": d, "users": max(d, min(3 * d, 90)), "catalog": d}.get(panel)
+    if audit_days is None or not src.has(ACCESS_AUDIT):
+        return src, defs
+    a = parse_as_of(src.as_of(ACCESS_AUDIT, p.as_of))
+    if a is None or a.time() != datetime.min.time():
+        return src, defs
+    r = rollups.audit_daily(src, audit_days, as_of=a)
+    swaps = {
+        "health_active_users": lambda s, p: rollups.active_users_from(r, d),
+        "users_top_by_queries": lambda s, p: rollups.top_by_queries_from(r, d, 20),
+        "users_top_by_tables_accessed": lambda s, p: rollups.top_by_tables_from(r, d, 20),
+        "users_inactive": lambda s, p: rollups.inactive_from(r, d, min(3 * d, 90)),
+        "catalog_most_accessed": lambda s, p: rollups.most_accessed_from(r, d, 20),
+    }
+    out = {k: (swaps.get(k, b), cap) for k, (b, cap) in defs.items()}
+    return src, out
+
+
+def run_panel(
+    spark: SparkSession, panel: str, src: Sources, params: Params | None = None, shared_scans: bool = False
+) -> PanelResult:
+    """All reports of ``panel`` (capped as the panel shows them) and its KPIs.
+
+    ``shared_scans=True`` first materialises the daily rollups the panel's
+    reports can share (see :mod:`opslens.plans.rollups`); results are equal."""
     p = params or Params()
     defs = _panel_reports(p)
     if panel not in defs:
@@ -113,8 +147,11 @@ def run_panel(spark: SparkSession, panel: str, src: Sources, params: Params | No
         if panel in custom_titles:
             return run_custom_panel(spark, src, p, panel)
         raise ValueError(f"unknown panel {panel!r}")
+    panel_defs = defs[panel]
+    if shared_scans:
+        src, panel_defs = _shared(panel, src, p, panel_defs)
     reports, rows = {}, []
-    for name, (build, cap) in defs[panel].items():
+    for name, (build, cap) in panel_defs.items():
         try:
             reports[name] = _capped(build(src, p), cap)
             rows.append((panel, name, "ok", None))
@@ -134,9 +171,11 @@ def run_custom_panel(spark: SparkSession, src: Sources, params: Params, title: s
     return PanelResult(title, {title: df}, None, status)
 
 
-def run_all(spark: SparkSession, src: Sources, params: Params | None = None) -> dict[str, PanelResult]:
+def run_all(
+    spark: SparkSession, src: Sources, params: Params | None = None, shared_scans: bool = False
+) -> dict[str, PanelResult]:
     p = params or Params()
-    out = {name: run_panel(spark, name, src, p) for name in p.panels}
+    out = {name: run_panel(spark, name, src, p, shared_scans) for name in p.panels}
     for c in p.custom_panels:
         out[c.title] = run_custom_panel(spark, src, p, c.title)
     return out

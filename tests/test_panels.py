@@ -148,3 +148,22 @@ def test_report_properties(spark, src_small):
         small = REPORTS[name](src_small, limit=5).collect()
         big = REPORTS[name](src_small, limit=6).collect()
         assert big[:5] == small
+
+
+@pytest.mark.parametrize("panel", ["health", "cost", "users", "catalog"])
+def test_shared_scans_give_equal_panels(spark, src_small, panel):
+    p = Params(days=7)
+    raw = run_panel(spark, panel, src_small, p)
+    shared = run_panel(spark, panel, src_small, p, shared_scans=True)
+    assert set(raw.reports) == set(shared.reports)
+    for name in raw.reports:
+        assert raw.reports[name].collect() == shared.reports[name].collect(), name
+    if raw.kpis is not None:
+        assert sorted(map(tuple, raw.kpis.collect())) == sorted(map(tuple, shared.kpis.collect()))
+
+
+def test_audit_rollup_needs_midnight(spark, src_small):
+    from opslens.plans.rollups import audit_daily
+
+    with pytest.raises(ValueError):
+        audit_daily(src_small, 30, as_of="2024-01-30 12:00:00")
