@@ -253,12 +253,15 @@ def trend_glyphs(
 ) -> DataFrame:
     """One glyph string per series: values min-max scaled to 8 blocks.
 
-    A series is the rows of one ``keys`` group ordered by ``order_col`` (one
-    row per point, e.g. a daily aggregate).  Empty or all-zero series give
-    ten low blocks; NULL values count as 0.  One hash aggregate builds the
-    series; the glyphs come from ``transform`` over the sorted points."""
+    A series is one ``keys`` group ordered by ``order_col``; it has one value
+    per point, so rows sharing a point are summed first (a partial/final
+    aggregate: a hot key collapses map-side, and a series is as long as its
+    number of points, e.g. days of a look-back, never its number of rows).
+    Empty or all-zero series give ten low blocks; NULL values count as 0.
+    The glyphs come from ``transform`` over the sorted points."""
     v = F.coalesce(F.col(value_col).cast("double"), F.lit(0.0))
-    grouped = df.select(*keys, F.col(order_col).alias("__o"), v.alias("__v")).groupBy(*keys)
+    points = df.groupBy(*keys, F.col(order_col).alias("__o")).agg(F.sum(v).alias("__v"))
+    grouped = points.groupBy(*keys)
     series = grouped.agg(
         F.min("__v").alias("__lo"),
         F.max("__v").alias("__hi"),

@@ -84,3 +84,37 @@ def test_trend_glyphs_many_series_ordered(spark):
 def test_ratio_half_up(spark, num, den, scale, expected):
     df = spark.createDataFrame([(num,)], "n long")
     assert df.select(ratio_half_up(F.col("n"), den, scale).alias("r")).first()["r"] == expected
+
+
+def test_trend_glyphs_sums_rows_of_a_point(spark):
+    rows = [("a", 1, 1.0), ("a", 1, 1.0), ("a", 2, 1.0)]  # point 1 is 2.0, point 2 is 1.0
+    df = spark.createDataFrame(rows, "k string, d int, v double")
+    got = trend_glyphs(df, ["k"], "d", "v").first()
+    assert (got["points"], got["trend"]) == (2, "█▁")
+
+
+def test_ratio_half_up_matches_decimal(spark):
+    """Property: equals Decimal(num / den) rounded HALF_UP, over random
+    values (one Spark job for all cases)."""
+    from decimal import ROUND_HALF_UP, Context, Decimal
+
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    cases = []
+
+    @settings(max_examples=300, deadline=None, derandomize=True)
+    @given(st.integers(-(10**15), 10**15), st.integers(1, 10**9), st.integers(0, 3))
+    def collect(num, den, scale):
+        cases.append((num, den, scale))
+
+    collect()
+    df = spark.createDataFrame(cases, "n long, d long, s int")
+    got = {}
+    for scale in range(4):
+        part = df.filter(F.col("s") == scale).select("n", "d", ratio_half_up(F.col("n"), F.col("d"), scale).alias("r"))
+        got.update({(r["n"], r["d"], scale): r["r"] for r in part.collect()})
+    ctx = Context(prec=60)
+    for n, d, s in cases:
+        exact = ctx.divide(Decimal(n), Decimal(d)).quantize(Decimal(1).scaleb(-s), rounding=ROUND_HALF_UP)
+        assert got[(n, d, s)] == float(exact.scaleb(s)) / 10**s, (n, d, s)
