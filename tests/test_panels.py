@@ -167,3 +167,13 @@ def test_audit_rollup_needs_midnight(spark, src_small):
 
     with pytest.raises(ValueError):
         audit_daily(src_small, 30, as_of="2024-01-30 12:00:00")
+
+
+def test_cli_writes_every_report(spark):
+    from opslens.__main__ import main
+
+    out = os.path.join(tempfile.mkdtemp(prefix="opslens-cli-"), "reports")
+    assert main(["--fixtures", "/root/testdata/sf0.001", "--out", out, "--panels", "jobs,governance"]) == 0
+    assert sorted(os.listdir(out)) == ["governance", "jobs"]
+    assert {"jobs_top_failures", "_kpis", "_status"} <= set(os.listdir(os.path.join(out, "jobs")))
+    assert spark.read.parquet(os.path.join(out, "jobs", "_kpis")).count() == 2
