@@ -145,6 +145,19 @@ class _Tables(dict):
         return df
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Round-robin rows over the session's cores when the scan yields fewer
+    splits than that (the driver tables are single row groups), ahead of
+    heavy per-row work (row expansion, regex and text functions).  A no-op
+    on real layouts, where a table has many files or row groups."""
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): keep the layout
+        return df
+    return df.repartition(cores) if splits < cores else df
+
+
 def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _Tables(spark, sf_dir)
 
@@ -247,7 +260,7 @@ def jobs(t: dict[str, DataFrame]) -> DataFrame:
 
 
 def query_history(t: dict[str, DataFrame]) -> DataFrame:
-    ev = t["events"]
+    ev = _spread(t["events"])
     # Only STATEMENT_DOCS documents can match; the range filter reaches the
     # scan, and the remaining side has a fixed size bound.
     docs = t["documents"].filter((F.col("doc_id") >= 0) & (F.col("doc_id") < STATEMENT_DOCS)).select(
@@ -298,7 +311,7 @@ def catalog_columns(t: dict[str, DataFrame]) -> DataFrame:
     Nation keys are 0..24, so the candidate keys are generated per part
     (``sequence``) and matched by an equi-join: no nested-loop join, and the
     fan-out per part is at most 25."""
-    part = t["part"].select("p_partkey", "p_type", "p_brand", "p_size")
+    part = _spread(t["part"].select("p_partkey", "p_type", "p_brand", "p_size"))
     nation = t["nation"].select("n_nationkey", "n_name")
     keyed = part.select("*", F.explode(F.sequence(F.lit(0), (F.col("p_size") % 25).cast("int"))).alias("nk"))
     joined = keyed.join(nation, keyed.nk == nation.n_nationkey)
