@@ -14,6 +14,7 @@ from opslens.plans import REPORTS
 from opslens.plans.custom import custom_report
 from opslens.plans.panels import run_all, run_panel
 from opslens.plans.rollups import with_usage_rollup
+from opslens.plans.vocab import DENIAL_ACTIONS
 from opslens.sources import ACCESS_AUDIT, JOB_RUNS, Sources
 from opslens.sources.sinks import read_report, write_report
 from opslens.streaming import audit_daily_counts, denial_feed, start
@@ -109,8 +110,7 @@ def test_streaming_variants(spark, src_small):
     q1 = start(denial_feed(stream), name, fmt="parquet", path=out)
     q1.processAllAvailable()
     q1.stop()
-    batch = audit.filter(F.col("action_name").isin(
-        "databricksSqlPermissionsDenied", "unauthorizedAccess", "accessDenied")).count()
+    batch = audit.filter(F.col("action_name").isin(list(DENIAL_ACTIONS))).count()
     assert spark.read.parquet(out).count() == batch
     assert os.path.isdir(os.path.join(spark.conf.get("spark.checkpoint.dir"), "streams", name))
 
