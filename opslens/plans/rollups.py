@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import now, parse_as_of, since
 from ..operators import asc, desc, of_actions, top_n
 from ..params import AsOf
+from ..session import ensure_checkpoint_dir
 from ..sources import ACCESS_AUDIT, BILLING_USAGE, Sources
 from .vocab import QUERY_ACTIONS, TABLE_ACCESS_ACTIONS, TABLE_READ_ACTIONS
 
@@ -66,6 +67,7 @@ def with_usage_rollup(src: Sources, days: int, *, as_of: AsOf = None, materializ
     (written once to the checkpoint folder, lineage cut)."""
     rollup = usage_daily(src, days, as_of=as_of)
     if materialize:
+        ensure_checkpoint_dir(rollup.sparkSession)
         rollup = rollup.checkpoint(eager=True)
     return src.bind(BILLING_USAGE, as_usage(rollup), as_of=src.as_of(BILLING_USAGE, as_of))
 
@@ -118,6 +120,7 @@ def audit_daily(src: Sources, days: int, *, as_of: AsOf = None, materialize: boo
         F.max("event_time").alias("last_seen"),
     )
     if materialize:
+        ensure_checkpoint_dir(rollup.sparkSession)
         rollup = rollup.checkpoint(eager=True)
     return AuditRollup(rollup, a, days)
 

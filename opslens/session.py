@@ -44,13 +44,17 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster names a shared folder there and it is used as is.  Only when the
-    setting is absent (local tests) a fresh scratch folder is created.
+    A cluster names a shared folder there and it is used as is.  Only a
+    local session without the setting (tests) gets a fresh scratch folder; a
+    cluster session without it is an error, since a machine-local folder
+    would not survive the loss of that machine.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS, object store) to materialise rollups")
     path = tempfile.mkdtemp(prefix="opslens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
