@@ -146,10 +146,11 @@ def compact_number(col: Column | str) -> Column:
     Suffix when ``|x| >= 1e6`` / ``1e3`` with one decimal; below that no
     decimals for whole numbers and two otherwise.  Rounding is HALF_EVEN on
     the value's decimal form (six places), which equals Python's float
-    formatting on all binary-exact values.  NULL stays NULL.
+    formatting on all binary-exact values.  NULL stays NULL; text that is not
+    a number (``"N/A"``) passes through unchanged.
     """
     c = F.col(col) if isinstance(col, str) else col
-    d = c.cast("decimal(38,6)")
+    d = c.try_cast("decimal(38,6)")
     a = F.abs(d)
 
     def scaled(places: int, unit: int) -> Column:
@@ -157,7 +158,8 @@ def compact_number(col: Column | str) -> Column:
         return (F.bround(d, places) / F.lit(unit)).cast("double")
 
     return (
-        F.when(d.isNull(), F.lit(None).cast("string"))
+        F.when(c.isNull(), F.lit(None).cast("string"))
+        .when(d.isNull(), c.cast("string"))
         .when(a >= 1_000_000, F.format_string("%.1fM", scaled(-5, 1_000_000)))
         .when(a >= 1_000, F.format_string("%.1fK", scaled(-2, 1_000)))
         .when(d == F.floor(d), F.format_string("%d", d.cast("long")))

@@ -118,3 +118,8 @@ def test_ratio_half_up_matches_decimal(spark):
     for n, d, s in cases:
         exact = ctx.divide(Decimal(n), Decimal(d)).quantize(Decimal(1).scaleb(-s), rounding=ROUND_HALF_UP)
         assert got[(n, d, s)] == float(exact.scaleb(s)) / 10**s, (n, d, s)
+
+
+def test_compact_number_passes_text_through(spark):
+    df = spark.createDataFrame([("N/A",), ("1234",), (None,)], "x string")
+    assert [r["y"] for r in df.select(compact_number("x").alias("y")).collect()] == ["N/A", "1.2K", None]
