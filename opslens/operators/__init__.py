@@ -192,9 +192,14 @@ def without_match(
     df: DataFrame, other: DataFrame, keys: Sequence[str], where: Column | None = None
 ) -> DataFrame:
     """Rows of ``df`` with no row in ``other`` (optionally filtered) equal on
-    all ``keys``: ``NOT EXISTS`` as a left-anti equi-join."""
+    all ``keys``: ``NOT EXISTS`` as a left-anti equi-join.
+
+    The other side is reduced to its distinct keys first (partial aggregation
+    map-side), so a key repeated millions of times (one table with many
+    grants) becomes one row before the shuffle; the join then reuses that
+    hash partitioning."""
     right = other.filter(where) if where is not None else other
-    return df.join(right.select(*keys), list(keys), "left_anti")
+    return df.join(right.select(*keys).distinct(), list(keys), "left_anti")
 
 
 # ---------------------------------------------------------------------------
