@@ -220,3 +220,20 @@ def test_missing_source_is_unavailable(spark):
     assert k["failed_jobs"]["status"] == "ok" and k["failed_jobs"]["value"] == 1.0
     assert k["failed_jobs"]["severity"] == "critical"
     assert k["dbu_today"]["status"] == "unavailable" and k["dbu_today"]["value"] is None
+
+
+def test_approx_active_users_close_to_exact(src_small):
+    exact = plans.health_active_users(src_small, 30).first()["active_users"]
+    approx = plans.health_active_users(src_small, 30, approx=True).first()["active_users"]
+    assert exact > 0 and abs(approx - exact) <= max(1, 0.1 * exact)
+
+
+def test_latest_per_key(spark):
+    from opslens.operators import latest_per_key
+
+    df = spark.createDataFrame(
+        [("j1", "old", ts(1)), ("j1", "new", ts(2)), ("j2", "only", ts(1))], "job_id string, name string, at timestamp_ntz"
+    )
+    got = {r["job_id"]: r["name"] for r in latest_per_key(df, "job_id", "name", order="at").collect()}
+    assert got == {"j1": "new", "j2": "only"}
+    assert {r["job_id"]: r["name"] for r in latest_per_key(df, "job_id", "name").collect()}["j1"] == "old"
