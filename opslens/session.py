@@ -50,12 +50,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     would not survive the loss of that machine.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        if current:
+            return current
+        raise ValueError("set spark.checkpoint.dir on the server to materialise rollups") from None
     if current:
-        spark.sparkContext.setCheckpointDir(current)
+        sc.setCheckpointDir(current)
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS, object store) to materialise rollups")
     path = tempfile.mkdtemp(prefix="opslens-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+    sc.setCheckpointDir(path)
     return path
