@@ -59,9 +59,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         sc.setCheckpointDir(current)
         return current
+    existing = sc.getCheckpointDir()
+    if existing:
+        return existing
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a shared folder (HDFS, object store) to materialise rollups")
     path = tempfile.mkdtemp(prefix="opslens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    sc.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(path)  # spark.checkpoint.dir itself cannot change at runtime
+    return sc.getCheckpointDir() or path

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.vocab import DENIAL_ACTIONS
+from ..session import ensure_checkpoint_dir
 
 
 def denial_feed(audit: DataFrame) -> DataFrame:
@@ -64,11 +65,7 @@ def start(df: DataFrame, name: str, fmt: str = "parquet", path: str | None = Non
     """Start ``df`` as a streaming query whose progress and state live under
     the session's ``spark.checkpoint.dir`` (a shared folder on a cluster), so
     a restarted driver or lost executors resume where the stream left off."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    location = checkpoint or (f"{base.rstrip('/')}/streams/{name}" if base else None)
-    if location is None:
-        raise ValueError("set spark.checkpoint.dir or pass checkpoint=")
+    location = checkpoint or f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/streams/{name}"
     writer = df.writeStream.format(fmt).outputMode(mode).queryName(name).option("checkpointLocation", location)
     if path is not None:
         writer = writer.option("path", path)
