@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import days_between
 from ..operators import asc, desc, of_actions, older_than, scope, top_n
 from ..params import AsOf
-from ..sources import ACCESS_AUDIT, CATALOG_COLUMNS, CATALOG_TABLES, Sources
+from ..sources import ACCESS_AUDIT, CATALOG_COLUMNS, CATALOG_TABLES, Sources, field
 from .vocab import BASE_TABLE, TABLE_READ_ACTIONS
 
 NAMES = ("table_catalog", "table_schema", "table_name")
@@ -63,9 +63,10 @@ def catalog_column_count(
 def catalog_most_accessed(src: Sources, days: int = 30, limit: int | None = 20, *, as_of: AsOf = None) -> DataFrame:
     """Most read tables in the audit log, with their distinct readers."""
     a = src.as_of(ACCESS_AUDIT, as_of)
-    target = F.col("request_params")["full_name_arg"]
+    audit = src.recent(ACCESS_AUDIT, "event_time", a, days=days)
+    target = field(audit, "request_params", "full_name_arg")
     reads = (
-        of_actions(src.recent(ACCESS_AUDIT, "event_time", a, days=days), TABLE_READ_ACTIONS)
+        of_actions(audit, TABLE_READ_ACTIONS)
         .select(target.alias("table_name"), "user_name")
         .filter(F.col("table_name").isNotNull())
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asc, desc, top_n, valid_on_join
 from ..params import AsOf
-from ..sources import BILLING_USAGE, LIST_PRICES, Sources
+from ..sources import BILLING_USAGE, LIST_PRICES, Sources, field
 
 
 def _usage(src: Sources, days: int, as_of: AsOf) -> DataFrame:
@@ -31,12 +31,13 @@ def cost_daily_by_sku(
         .groupBy("usage_date", "sku_name")
         .agg(F.sum("usage_quantity").alias("__qty"))
     )
+    prices = src[LIST_PRICES]
     priced = valid_on_join(
         daily,
-        src[LIST_PRICES],
+        prices,
         on=["sku_name"],
         at="usage_date",
-        values={"__price": F.col("pricing")["default"]},
+        values={"__price": field(prices, "pricing", "default")},
         start="price_start_time",
         end="price_end_time",
         fact_key=["usage_date", "sku_name"],
@@ -51,11 +52,11 @@ def cost_daily_by_sku(
 
 def cost_top_clusters(src: Sources, days: int = 30, limit: int | None = 10, *, as_of: AsOf = None) -> DataFrame:
     """Top clusters by usage with their number of active dates."""
-    cluster_id = F.col("usage_metadata")["cluster_id"]
+    usage = _usage(src, days, as_of)
+    cluster_id = field(usage, "usage_metadata", "cluster_id")
     per_cluster = (
-        _usage(src, days, as_of)
-        .filter(cluster_id.isNotNull())
-        .groupBy(F.col("custom_tags")["cluster_name"].alias("cluster_name"), cluster_id.alias("cluster_id"))
+        usage.filter(cluster_id.isNotNull())
+        .groupBy(field(usage, "custom_tags", "cluster_name").alias("cluster_name"), cluster_id.alias("cluster_id"))
         .agg(
             F.round(F.sum("usage_quantity"), 2).alias("total_dbu"),
             F.countDistinct("usage_date").alias("active_days"),
@@ -66,10 +67,10 @@ def cost_top_clusters(src: Sources, days: int = 30, limit: int | None = 10, *, a
 
 def cost_top_jobs(src: Sources, days: int = 30, limit: int | None = 10, *, as_of: AsOf = None) -> DataFrame:
     """Top jobs by usage with their number of active dates."""
-    job_id = F.col("usage_metadata")["job_id"]
+    usage = _usage(src, days, as_of)
+    job_id = field(usage, "usage_metadata", "job_id")
     per_job = (
-        _usage(src, days, as_of)
-        .filter(job_id.isNotNull())
+        usage.filter(job_id.isNotNull())
         .groupBy(job_id.alias("job_id"))
         .agg(
             F.round(F.sum("usage_quantity"), 2).alias("total_dbu"),
@@ -81,10 +82,10 @@ def cost_top_jobs(src: Sources, days: int = 30, limit: int | None = 10, *, as_of
 
 def cost_top_users_by_dbu(src: Sources, days: int = 30, limit: int | None = 10, *, as_of: AsOf = None) -> DataFrame:
     """Top run-as identities by usage."""
-    run_as = F.col("identity_metadata")["run_as"]
+    usage = _usage(src, days, as_of)
+    run_as = field(usage, "identity_metadata", "run_as")
     per_user = (
-        _usage(src, days, as_of)
-        .filter(run_as.isNotNull())
+        usage.filter(run_as.isNotNull())
         .groupBy(run_as.alias("run_as_user"))
         .agg(F.round(F.sum("usage_quantity"), 2).alias("total_dbu"))
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asc, desc, name_pattern_scan, of_actions, scope, top_n, without_match
 from ..params import AsOf
-from ..sources import ACCESS_AUDIT, CATALOG_COLUMNS, CATALOG_TABLES, TABLE_PRIVILEGES, Sources
+from ..sources import ACCESS_AUDIT, CATALOG_COLUMNS, CATALOG_TABLES, TABLE_PRIVILEGES, Sources, field
 from .vocab import BASE_TABLE, DDL_ACTIONS, DENIAL_ACTIONS, OWNERSHIP, PII_TOKENS
 
 NAMES = ("table_catalog", "table_schema", "table_name")
@@ -50,10 +50,11 @@ def governance_pii_columns(
 def governance_access_anomalies(src: Sources, days: int = 7, limit: int | None = 50, *, as_of: AsOf = None) -> DataFrame:
     """Newest denied-access events."""
     a = src.as_of(ACCESS_AUDIT, as_of)
-    ev = of_actions(src.recent(ACCESS_AUDIT, "event_time", a, days=days), DENIAL_ACTIONS).select(
+    audit = src.recent(ACCESS_AUDIT, "event_time", a, days=days)
+    ev = of_actions(audit, DENIAL_ACTIONS).select(
         "user_name",
         "action_name",
-        F.col("request_params")["full_name_arg"].alias("target_object"),
+        field(audit, "request_params", "full_name_arg").alias("target_object"),
         "event_time",
         "source_ip_address",
     )
@@ -64,13 +65,13 @@ def governance_access_anomalies(src: Sources, days: int = 7, limit: int | None =
 def governance_schema_changes(src: Sources, days: int = 30, limit: int | None = 50, *, as_of: AsOf = None) -> DataFrame:
     """Newest DDL events with object and change detail."""
     a = src.as_of(ACCESS_AUDIT, as_of)
-    params = F.col("request_params")
-    ev = of_actions(src.recent(ACCESS_AUDIT, "event_time", a, days=days), DDL_ACTIONS).select(
+    audit = src.recent(ACCESS_AUDIT, "event_time", a, days=days)
+    ev = of_actions(audit, DDL_ACTIONS).select(
         "event_time",
         "user_name",
         "action_name",
-        params["full_name_arg"].alias("object_name"),
-        params["changes"].alias("change_detail"),
+        field(audit, "request_params", "full_name_arg").alias("object_name"),
+        field(audit, "request_params", "changes").alias("change_detail"),
     )
     order = desc("event_time") + asc("user_name", "action_name", "object_name", "change_detail")
     return top_n(ev, order, limit)

@@ -25,7 +25,7 @@ from ..functions import now, parse_as_of, since
 from ..operators import asc, desc, of_actions, top_n
 from ..params import AsOf
 from ..session import ensure_checkpoint_dir
-from ..sources import ACCESS_AUDIT, BILLING_USAGE, Sources
+from ..sources import ACCESS_AUDIT, BILLING_USAGE, Sources, field
 from .vocab import QUERY_ACTIONS, TABLE_ACCESS_ACTIONS, TABLE_READ_ACTIONS
 
 KEYS = ("usage_date", "sku_name", "cluster_name", "cluster_id", "job_id", "run_as")
@@ -38,25 +38,17 @@ def usage_daily(src: Sources, days: int, *, as_of: AsOf = None) -> DataFrame:
     return u.groupBy(
         "usage_date",
         "sku_name",
-        F.col("custom_tags")["cluster_name"].alias("cluster_name"),
-        F.col("usage_metadata")["cluster_id"].alias("cluster_id"),
-        F.col("usage_metadata")["job_id"].alias("job_id"),
-        F.col("identity_metadata")["run_as"].alias("run_as"),
+        field(u, "custom_tags", "cluster_name").alias("cluster_name"),
+        field(u, "usage_metadata", "cluster_id").alias("cluster_id"),
+        field(u, "usage_metadata", "job_id").alias("job_id"),
+        field(u, "identity_metadata", "run_as").alias("run_as"),
     ).agg(F.sum("usage_quantity").alias("usage_quantity"), F.count(F.lit(1)).alias("usage_rows"))
 
 
 def as_usage(rollup: DataFrame) -> DataFrame:
-    """The rollup in the shape of the ``billing_usage`` source."""
-    return rollup.select(
-        "usage_date",
-        "sku_name",
-        "usage_quantity",
-        F.create_map(F.lit("cluster_name"), F.col("cluster_name")).alias("custom_tags"),
-        F.create_map(
-            F.lit("cluster_id"), F.col("cluster_id"), F.lit("job_id"), F.col("job_id")
-        ).alias("usage_metadata"),
-        F.create_map(F.lit("run_as"), F.col("run_as")).alias("identity_metadata"),
-    )
+    """The rollup as a ``billing_usage`` source: its keys stay top-level
+    columns, which the reports read in place of the map lookups."""
+    return rollup.select("usage_date", "sku_name", "usage_quantity", *KEYS[2:])
 
 
 def with_usage_rollup(src: Sources, days: int, *, as_of: AsOf = None, materialize: bool = True) -> Sources:
@@ -113,7 +105,7 @@ def audit_daily(src: Sources, days: int, *, as_of: AsOf = None, materialize: boo
         F.to_date("event_time").alias("event_date"),
         "user_name",
         "action_name",
-        F.col("request_params")["full_name_arg"].alias("object_name"),
+        field(ev, "request_params", "full_name_arg").alias("object_name"),
     ).agg(
         F.count(F.lit(1)).alias("events"),
         F.min("event_time").alias("first_seen"),

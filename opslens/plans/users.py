@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asc, desc, last_seen_between, of_actions, top_n
 from ..params import AsOf
-from ..sources import ACCESS_AUDIT, Sources
+from ..sources import ACCESS_AUDIT, Sources, field
 from .vocab import PERMISSION_ACTIONS, QUERY_ACTIONS, TABLE_ACCESS_ACTIONS
 
 
@@ -30,9 +30,10 @@ def users_top_by_tables_accessed(
     src: Sources, days: int = 30, limit: int | None = 20, *, as_of: AsOf = None
 ) -> DataFrame:
     """Per user: distinct tables read and number of accesses."""
-    target = F.col("request_params")["full_name_arg"]
+    audit = _audit(src, days, as_of)
+    target = field(audit, "request_params", "full_name_arg")
     ev = (
-        of_actions(_audit(src, days, as_of), TABLE_ACCESS_ACTIONS)
+        of_actions(audit, TABLE_ACCESS_ACTIONS)
         .filter(F.col("user_name").isNotNull())
         .select("user_name", target.alias("__target"))
         .filter(F.col("__target").isNotNull())
@@ -65,13 +66,13 @@ def users_inactive(
 
 def users_permission_changes(src: Sources, days: int = 30, limit: int | None = 50, *, as_of: AsOf = None) -> DataFrame:
     """Newest grant / revoke / ownership events with target and change."""
-    params = F.col("request_params")
-    ev = of_actions(_audit(src, days, as_of), PERMISSION_ACTIONS).select(
+    audit = _audit(src, days, as_of)
+    ev = of_actions(audit, PERMISSION_ACTIONS).select(
         "event_time",
         F.col("user_name").alias("changed_by"),
         "action_name",
-        params["securable_full_name"].alias("target_object"),
-        params["changes"].alias("changes_detail"),
+        field(audit, "request_params", "securable_full_name").alias("target_object"),
+        field(audit, "request_params", "changes").alias("changes_detail"),
     )
     order = desc("event_time") + asc("changed_by", "action_name", "target_object", "changes_detail")
     return top_n(ev, order, limit)

@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,6 +97,24 @@ SCHEMAS: dict[str, dict[str, str]] = {
 }
 
 
+# Keys the reports read from map/struct columns.  A source may carry any of
+# them as top-level columns instead (e.g. generated columns of the audit
+# table): Parquet then reads just those columns, where a map lookup reads the
+# whole map of every row.
+KEYED_FIELDS: dict[str, tuple[str, ...]] = {
+    "request_params": ("full_name_arg", "securable_full_name", "changes"),
+    "custom_tags": ("cluster_name",),
+    "usage_metadata": ("cluster_id", "job_id"),
+    "identity_metadata": ("run_as",),
+    "pricing": ("default",),
+}
+
+
+def field(df: DataFrame, container: str, key: str) -> Column:
+    """``container[key]``, or the top-level column ``key`` when the source has it."""
+    return F.col(key) if key in df.columns else F.col(container)[key]
+
+
 def _matches(family: str | None, dtype: T.DataType) -> bool:
     if family is None:
         return True
@@ -128,6 +146,8 @@ def validate(name: str, df: DataFrame) -> None:
     fields = {f.name: f.dataType for f in df.schema.fields}
     problems = []
     for col, family in spec.items():
+        if col not in fields and family == KEYED and all(k in fields for k in KEYED_FIELDS.get(col, (None,))):
+            continue  # every key of the container is a top-level column
         if col not in fields:
             problems.append(f"missing column {col!r}")
         elif not _matches(family, fields[col]):
@@ -256,9 +276,11 @@ __all__ = [
     "LIST_PRICES",
     "QUERY_HISTORY",
     "SCHEMAS",
+    "KEYED_FIELDS",
     "SchemaMismatch",
     "SourceUnavailable",
     "Sources",
     "TABLE_PRIVILEGES",
+    "field",
     "validate",
 ]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..plans.vocab import DENIAL_ACTIONS
 from ..session import ensure_checkpoint_dir
+from ..sources import field
 
 
 def denial_feed(audit: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def denial_feed(audit: DataFrame) -> DataFrame:
     return audit.filter(F.col("action_name").isin(list(DENIAL_ACTIONS))).select(
         "user_name",
         "action_name",
-        F.col("request_params")["full_name_arg"].alias("target_object"),
+        field(audit, "request_params", "full_name_arg").alias("target_object"),
         "event_time",
         "source_ip_address",
     )
