@@ -56,5 +56,5 @@ def health_dbu_trend(src: Sources, days: int = 14, *, as_of: AsOf = None, fill_g
     )
     if fill_gaps:
         dtype = u.schema["usage_date"].dataType
-        daily = fill_daily_gaps(daily, "usage_date", since(a, dtype, days=days), now(a, dtype), {"dbu": 0.0})
+        daily = fill_daily_gaps(daily, "usage_date", since(a, dtype, days=days), now(a, dtype), {"dbu": 0})
     return daily.orderBy(*asc("usage_date"))

@@ -91,8 +91,9 @@ def kpis_cost(src: Sources, days: int = 30, *, as_of: AsOf = None) -> DataFrame:
         burn = cost.cost_burn_rate(src, days, as_of=as_of)
         long = burn.select(
             F.expr(
-                "stack(3, 'total_dbu', total_dbu, 'neutral', 'avg_daily_dbu', avg_daily_dbu, 'neutral', "
-                "'projected_monthly_dbu', projected_monthly_dbu, 'warning') AS (metric, v, sev)"
+                "stack(3, 'total_dbu', CAST(total_dbu AS DOUBLE), 'neutral', "
+                "'avg_daily_dbu', CAST(avg_daily_dbu AS DOUBLE), 'neutral', "
+                "'projected_monthly_dbu', CAST(projected_monthly_dbu AS DOUBLE), 'warning') AS (metric, v, sev)"
             )
         )
         return long.select(

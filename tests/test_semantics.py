@@ -237,3 +237,29 @@ def test_latest_per_key(spark):
     got = {r["job_id"]: r["name"] for r in latest_per_key(df, "job_id", "name", order="at").collect()}
     assert got == {"j1": "new", "j2": "only"}
     assert {r["job_id"]: r["name"] for r in latest_per_key(df, "job_id", "name").collect()}["j1"] == "old"
+
+
+def test_decimal_quantities_stay_exact(spark):
+    from decimal import Decimal
+
+    schema = USAGE.replace("usage_quantity double", "usage_quantity decimal(38,18)")
+    usage = spark.createDataFrame(
+        [(date(2024, 1, 30), "A", Decimal("0.1"), {"cluster_name": "c"}, {"cluster_id": "k", "job_id": "j"},
+          {"run_as": "u"}),
+         (date(2024, 1, 30), "A", Decimal("0.2"), {"cluster_name": "c"}, {"cluster_id": "k", "job_id": "j"},
+          {"run_as": "u"})],
+        schema,
+    )
+    prices = spark.createDataFrame([("A", ts(1), None, (Decimal("0.1"),))],
+                                   PRICES.replace("struct<default:double>", "struct<default:decimal(10,4)>"))
+    src = Sources().bind(BILLING_USAGE, usage).bind(LIST_PRICES, prices)
+    assert plans.health_dbu_today(src, as_of="2024-01-30").first()["dbu_today"] == Decimal("0.30")
+    row = plans.cost_daily_by_sku(src, 30, as_of="2024-01-31").first()
+    assert row["dbu"] == Decimal("0.300") and row["est_usd"] == Decimal("0.03")
+    burn = plans.cost_burn_rate(src, 30, as_of="2024-01-31").first()
+    assert burn["total_dbu"] == Decimal("0.30") and burn["active_days"] == 1
+    assert plans.cost_top_clusters(src, 30, as_of="2024-01-31").first()["total_dbu"] == Decimal("0.30")
+    from opslens.plans.kpis import kpis_cost
+
+    k = {r["metric"]: r["display"] for r in kpis_cost(src, 30, as_of="2024-01-31").collect()}
+    assert k["total_dbu"] == "0.30"
