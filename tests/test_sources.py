@@ -121,3 +121,15 @@ def test_catalog_scope_equals_prefiltered_sources(src_small, name):
     fn = REPORTS[name]
     scoped = fn(src_small, catalogs=keep).collect()
     assert scoped == fn(pre).collect() and len(scoped) > 0
+
+
+def test_panels_on_the_session_clock_with_shared_scans(spark, unclocked):
+    from opslens import Params
+    from opslens.plans.panels import run_all
+
+    for panel, result in run_all(spark, unclocked, Params(days=7), shared_scans=True).items():
+        assert {r["status"] for r in result.status.collect()} <= {"ok"}, panel
+        for name, df in result.reports.items():
+            df.write.format("noop").mode("overwrite").save()
+        if result.kpis is not None:
+            assert all(r["status"] == "ok" for r in result.kpis.collect())
