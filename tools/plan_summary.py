@@ -1,6 +1,6 @@
 """Summarise the physical plan of every headline query (for PLANS.md).
 
-    python tools/plan_summary.py [/root/testdata/sf0.1] > /tmp/plans.md
+    python tools/plan_summary.py [/root/testdata/sf0.1] [--no-broadcast] [--stored] > /tmp/plans.md
 
 Counts come from the initial adaptive plan (before runtime re-planning):
 hash / range / single-partition exchanges, broadcast and sort-merge joins,
@@ -36,8 +36,28 @@ def main(argv: list[str]) -> None:
     from opslens.plans.registry import HEADLINE, QUERIES
     from opslens.session import local_session
 
+    no_broadcast = "--no-broadcast" in argv
+    stored = "--stored" in argv
+    argv = [a for a in argv if not a.startswith("--")]
     sf_dir = argv[0] if argv else "/root/testdata/sf0.1"
     spark = local_session()
+    if stored:  # reports over stored source tables, as in production: no fixture joins in the plans
+        import tempfile
+
+        from opslens.plans import registry
+        from opslens.sources import Sources
+        from opslens.sources.fixtures import AS_OF, bind_driver_tables
+
+        raw = bind_driver_tables(spark, sf_dir)
+        base = tempfile.mkdtemp(prefix="opslens-stored-")
+        src = Sources()
+        for name in raw.names:
+            raw[name].write.parquet(f"{base}/{name}")
+            src = src.bind(name, spark.read.parquet(f"{base}/{name}"), as_of=AS_OF[name])
+        registry._BOUND.setdefault(spark, {})[sf_dir.rstrip("/")] = src
+    if no_broadcast:  # the shape at scale: dimension sides too big to broadcast
+        for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+            spark.conf.set(k, "-1")
     cols = ["hash_exchanges", "range_exchanges", "single_partition", "round_robin", "broadcast_joins",
             "sort_merge_joins",
             "top_k", "scans", "scans_with_pushed_filters", "nested_loop_or_cartesian", "python_udf"]
