@@ -191,3 +191,11 @@ def test_cost_is_additive_over_skus(src_small):
     parts = sorted(map(tuple, fn(low).collect() + fn(high).collect()))
     assert parts == sorted(map(tuple, fn(src_small).collect()))
     assert len(fn(low).collect()) > 0 and len(fn(high).collect()) > 0
+
+
+def test_csv_null_text_like_the_original_export(spark):
+    df = spark.createDataFrame([("a", None), ("b", 2)], "user string, n int")
+    out = os.path.join(tempfile.mkdtemp(prefix="opslens-sink-"), "csv")
+    write_report(df.coalesce(1), out, fmt="csv", null_value="None")
+    text = "".join(open(os.path.join(out, f)).read() for f in sorted(os.listdir(out)) if f.endswith(".csv"))
+    assert text.splitlines() == ["user,n", "a,None", "b,2"]
