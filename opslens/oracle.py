@@ -126,6 +126,8 @@ CTES = {
 
 
 def with_sources(body: str, *names: str) -> str:
+    """``WITH <bindings> <body>``; a body starting with ``, name AS (...)``
+    adds its own CTEs after the bindings."""
     ctes = ",\n".join(f"{n} AS ({CTES[n]}\n)" for n in names)
     return f"WITH {ctes}\n{body.strip()}"
 
@@ -238,8 +240,7 @@ all_users AS (
   SELECT user_name, MAX(event_time) AS last_seen FROM access_audit
   WHERE event_time >= {_lb(AUDIT_NOW, 90)} AND user_name IS NOT NULL GROUP BY user_name)
 SELECT a.user_name, a.last_seen, CAST(datediff('day', a.last_seen, {AUDIT_NOW}) AS BIGINT) AS days_inactive
-FROM all_users a WHERE a.user_name NOT IN (SELECT user_name FROM active)""", "access_audit").replace(
-    ")\n, active", "),\nactive")
+FROM all_users a WHERE a.user_name NOT IN (SELECT user_name FROM active)""", "access_audit")
 
 Q["users_permission_changes"] = with_sources(f"""
 SELECT event_time, user_name AS changed_by, action_name, securable_full_name AS target_object,
@@ -348,12 +349,16 @@ SELECT table_catalog, table_schema, table_name, column_name, data_type
 FROM catalog_columns WHERE regexp_matches(lower(column_name), '({"|".join(PII_TOKENS)})')
 ORDER BY {NAMES_ASC}, column_name ASC NULLS FIRST, data_type ASC NULLS FIRST LIMIT 200""", "catalog_columns")
 
-Q["governance_access_anomalies"] = with_sources(f"""
+def _anomalies(days: int) -> str:
+    return with_sources(f"""
 SELECT user_name, action_name, full_name_arg AS target_object, event_time, source_ip_address
-FROM access_audit WHERE event_time >= {_lb(AUDIT_NOW, 7)} AND action_name IN {_in(DENIAL_ACTIONS)}
+FROM access_audit WHERE event_time >= {_lb(AUDIT_NOW, days)} AND action_name IN {_in(DENIAL_ACTIONS)}
 ORDER BY event_time DESC NULLS LAST, user_name ASC NULLS FIRST, action_name ASC NULLS FIRST,
          target_object ASC NULLS FIRST, source_ip_address ASC NULLS FIRST LIMIT 50""", "access_audit")
 
+
+Q["governance_access_anomalies"] = _anomalies(7)
+
 Q["governance_schema_changes"] = with_sources(f"""
 SELECT event_time, user_name, action_name, full_name_arg AS object_name, changes AS change_detail
 FROM access_audit WHERE event_time >= {_lb(AUDIT_NOW, 30)} AND action_name IN {_in(DDL_ACTIONS)}
@@ -419,11 +424,11 @@ rated AS (SELECT total, CASE WHEN total > 0 THEN {_RATE} ELSE 0.0 END AS rate FR
           "CASE WHEN total > 0 THEN printf('%.1f%%', rate) ELSE '0%' END",
           "CASE WHEN rate >= 95 THEN 'good' WHEN rate >= 80 THEN 'warning' ELSE 'critical' END")} FROM rated
 UNION ALL
-{_kpi_row("jobs", "total_runs", "total")} FROM rated""", "job_runs").replace(")\n, agg", "),\nagg")
+{_kpi_row("jobs", "total_runs", "total")} FROM rated""", "job_runs")
 
 
-def _uncapped(name: str) -> str:
-    body = Q[name]
+def _uncapped(name_or_sql: str) -> str:
+    body = Q.get(name_or_sql, name_or_sql)
     return body[: body.rindex("ORDER BY")]
 
 
@@ -436,8 +441,7 @@ UNION ALL
 FROM (SELECT COUNT(*) AS n FROM ({_uncapped("governance_pii_columns")}) x) b
 UNION ALL
 {_kpi_row("governance", "access_denials", "n", _count_text("n"), "CASE WHEN n > 0 THEN 'critical' ELSE 'good' END")}
-FROM (SELECT COUNT(*) AS n FROM ({_uncapped("governance_access_anomalies").replace(
-    f"{_lb(AUDIT_NOW, 7)}", f"{_lb(AUDIT_NOW, 30)}")}) x) c"""
+FROM (SELECT COUNT(*) AS n FROM ({_uncapped(_anomalies(30))}) x) c"""
 
 Q["custom_report"] = with_sources("""
 SELECT user_name, COUNT(*) AS cnt FROM access_audit GROUP BY user_name
@@ -460,7 +464,7 @@ SELECT r.sku_name, r.points,
                    CAST(least(7, floor((d.v - r.lo) / CASE WHEN r.hi - r.lo = 0 THEN 1.0 ELSE r.hi - r.lo END
                                        * 7.0)) AS INTEGER) + 1, 1), '' ORDER BY d.usage_date) END AS trend
 FROM daily d JOIN rng r ON r.sku_name = d.sku_name
-GROUP BY r.sku_name, r.points, r.all_zero""", "billing_usage").replace(")\n, daily", "),\ndaily")
+GROUP BY r.sku_name, r.points, r.all_zero""", "billing_usage")
 
 Q["preview"] = with_sources("""
 SELECT start_time, user_name,
@@ -487,8 +491,7 @@ calendar AS (
   SELECT CAST(d AS DATE) AS usage_date
   FROM generate_series({_lb(USAGE_TODAY, 14)}, CAST({USAGE_TODAY} AS TIMESTAMP), INTERVAL 1 DAY) g(d))
 SELECT COALESCE(c.usage_date, t.usage_date) AS usage_date, COALESCE(t.dbu, 0.0) AS dbu
-FROM calendar c FULL OUTER JOIN daily t ON t.usage_date = c.usage_date""", "billing_usage").replace(
-    ")\n, daily", "),\ndaily")
+FROM calendar c FULL OUTER JOIN daily t ON t.usage_date = c.usage_date""", "billing_usage")
 
 Q["cost_daily_by_sku_all_prices"] = Q["cost_daily_by_sku"]
 
