@@ -47,7 +47,9 @@ def governance_pii_columns(
     return top_n(hits, asc(*NAMES, "column_name", "data_type"), limit)
 
 
-def governance_access_anomalies(src: Sources, days: int = 7, limit: int | None = 50, *, as_of: AsOf = None) -> DataFrame:
+def governance_access_anomalies(
+    src: Sources, days: int = 7, limit: int | None = 50, *, as_of: AsOf = None
+) -> DataFrame:
     """Newest denied-access events."""
     a = src.as_of(ACCESS_AUDIT, as_of)
     audit = src.recent(ACCESS_AUDIT, "event_time", a, days=days)

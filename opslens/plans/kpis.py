@@ -23,7 +23,9 @@ NEUTRAL, GOOD, WARNING, CRITICAL = "neutral", "good", "warning", "critical"
 KPI_SCHEMA = "panel string, metric string, value double, display string, severity string, status string"
 
 
-def _kpi(panel: str, metric: str, value: Column, display: Column | None = None, severity: Column | str = NEUTRAL) -> list[Column]:
+def _kpi(
+    panel: str, metric: str, value: Column, display: Column | None = None, severity: Column | str = NEUTRAL
+) -> list[Column]:
     v = value.cast("double")
     return [
         F.lit(panel).alias("panel"),

@@ -76,10 +76,12 @@ def _panel_reports(p: Params) -> dict[str, dict[str, tuple[Build, int | None]]]:
         "governance": {
             "governance_tables_without_owners": (
                 lambda s, p: governance.governance_tables_without_owners(s, cats, 100, as_of=p.as_of), 50),
-            "governance_pii_columns": (lambda s, p: governance.governance_pii_columns(s, cats, 200, as_of=p.as_of), 100),
+            "governance_pii_columns": (
+                lambda s, p: governance.governance_pii_columns(s, cats, 200, as_of=p.as_of), 100),
             "governance_access_anomalies": (
                 lambda s, p: governance.governance_access_anomalies(s, d, 50, as_of=p.as_of), 30),
-            "governance_schema_changes": (lambda s, p: governance.governance_schema_changes(s, d, 50, as_of=p.as_of), 30),
+            "governance_schema_changes": (
+                lambda s, p: governance.governance_schema_changes(s, d, 50, as_of=p.as_of), 30),
         },
     }
 

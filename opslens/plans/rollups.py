@@ -162,7 +162,9 @@ def inactive_from(r: AuditRollup, days: int = 30, lookback_days: int = 90) -> Da
     dtype = last.schema["last_seen"].dataType
     idle = last.filter(F.col("last_seen") < since(r.as_of, dtype, days=days))
     return idle.select(
-        "user_name", "last_seen", F.datediff(now(r.as_of, dtype), F.col("last_seen")).cast("long").alias("days_inactive")
+        "user_name",
+        "last_seen",
+        F.datediff(now(r.as_of, dtype), F.col("last_seen")).cast("long").alias("days_inactive"),
     ).orderBy(*desc("days_inactive"), *asc("user_name"))
 
 
