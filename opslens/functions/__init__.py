@@ -144,7 +144,7 @@ def compact_number(col: Column | str) -> Column:
     """``2,000,000 -> 2.0M``, ``5,000 -> 5.0K``, ``42 -> 42``, ``3.14159 -> 3.14``.
 
     Suffix when ``|x| >= 1e6`` / ``1e3`` with one decimal; below that no
-    decimals for whole numbers and two otherwise.  Rounding is HALF_EVEN on
+    decimals for whole numbers and two (with thousands separators) otherwise.  Rounding is HALF_EVEN on
     the value's decimal form (six places), which equals Python's float
     formatting on all binary-exact values.  NULL stays NULL; text that is not
     a number (``"N/A"``) passes through unchanged.
@@ -163,7 +163,7 @@ def compact_number(col: Column | str) -> Column:
         .when(a >= 1_000_000, F.format_string("%.1fM", scaled(-5, 1_000_000)))
         .when(a >= 1_000, F.format_string("%.1fK", scaled(-2, 1_000)))
         .when(d == F.floor(d), F.format_string("%d", d.cast("long")))
-        .otherwise(F.format_string("%.2f", scaled(2, 1)))
+        .otherwise(F.format_number(F.bround(d, 2), 2))  # 999.999 -> "1,000.00", with separators
     )
 
 

@@ -147,7 +147,7 @@ def _compact(v: str) -> str:
         f"WHEN abs({d}) >= 1000000 THEN printf('%.1fM', CAST(round_even({d}, -5) / 1000000 AS DOUBLE)) "
         f"WHEN abs({d}) >= 1000 THEN printf('%.1fK', CAST(round_even({d}, -2) / 1000 AS DOUBLE)) "
         f"WHEN {d} = floor({d}) THEN printf('%d', CAST({d} AS BIGINT)) "
-        f"ELSE printf('%.2f', CAST(round_even({d}, 2) AS DOUBLE)) END"
+        f"ELSE format('{{:,.2f}}', CAST(round_even({d}, 2) AS DOUBLE)) END"
     )
 
 

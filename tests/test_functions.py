@@ -28,6 +28,8 @@ def _one(spark, col, value, dtype="double"):
         (-1500, "-1.5K"),
         (1250, "1.2K"),  # exact tie: half-even, as Python formats 1.25
         (999.5, "999.50"),
+        (999.999, "1,000.00"),  # rounds past 1000 below the K threshold: separator shown
+        (1_500_000_000, "1500.0M"),
         (None, None),
     ],
 )
