@@ -176,3 +176,31 @@ def most_accessed_from(r: AuditRollup, days: int = 30, limit: int | None = 20) -
         F.countDistinct("user_name").alias("distinct_users"),
     )
     return top_n(per_table, desc("access_count") + asc("table_name"), limit)
+
+
+# ---------------------------------------------------------------------------
+# A persisted rollup, refreshed incrementally
+# ---------------------------------------------------------------------------
+
+
+def refresh_usage_rollup(src: Sources, path: str, days: int, *, as_of: AsOf = None) -> str:
+    """Recompute the last ``days`` of the daily usage rollup and write them
+    to ``path`` partitioned by ``usage_date``.
+
+    Dynamic partition overwrite replaces only the dates written, so a daily
+    job refreshes the recent window (late usage included) and leaves older
+    dates as they are; readers bind the folder with :func:`stored_usage`."""
+    rollup = usage_daily(src, days, as_of=as_of)
+    (
+        rollup.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("usage_date")
+        .parquet(path)
+    )
+    return path
+
+
+def stored_usage(src: Sources, spark, path: str) -> Sources:
+    """``src`` with ``billing_usage`` bound to a persisted rollup folder (its
+    date partitions are pruned by the reports' look-backs)."""
+    return src.bind(BILLING_USAGE, as_usage(spark.read.parquet(path)), as_of=src.as_of(BILLING_USAGE))

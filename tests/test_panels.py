@@ -199,3 +199,22 @@ def test_csv_null_text_like_the_original_export(spark):
     write_report(df.coalesce(1), out, fmt="csv", null_value="None")
     text = "".join(open(os.path.join(out, f)).read() for f in sorted(os.listdir(out)) if f.endswith(".csv"))
     assert text.splitlines() == ["user,n", "a,None", "b,2"]
+
+
+def test_persisted_rollup_refresh_replaces_only_recent_dates(spark, src_small):
+    from opslens.plans.rollups import refresh_usage_rollup, stored_usage
+
+    path = os.path.join(tempfile.mkdtemp(prefix="opslens-rollup-"), "usage_daily")
+    refresh_usage_rollup(src_small, path, 30)
+    before = {r["usage_date"]: r["n"] for r in spark.read.parquet(path).groupBy("usage_date").agg(
+        F.sum("usage_rows").alias("n")).collect()}
+    refresh_usage_rollup(src_small, path, 7)  # the daily job: only the last week is rewritten
+    after = {r["usage_date"]: r["n"] for r in spark.read.parquet(path).groupBy("usage_date").agg(
+        F.sum("usage_rows").alias("n")).collect()}
+    assert after == before and len(after) > 7
+    stored = stored_usage(src_small, spark, path)
+    for name in ("cost_top_clusters", "cost_burn_rate", "health_dbu_trend"):
+        fn = REPORTS[name]
+        assert sorted(map(tuple, fn(stored).collect())) == sorted(map(tuple, fn(src_small).collect())), name
+    plan = REPORTS["cost_burn_rate"](stored)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(usage_date" in plan
