@@ -204,3 +204,26 @@ def stored_usage(src: Sources, spark, path: str) -> Sources:
     """``src`` with ``billing_usage`` bound to a persisted rollup folder (its
     date partitions are pruned by the reports' look-backs)."""
     return src.bind(BILLING_USAGE, as_usage(spark.read.parquet(path)), as_of=src.as_of(BILLING_USAGE))
+
+
+def refresh_audit_rollup(src: Sources, path: str, days: int, *, as_of: AsOf = None) -> str:
+    """Recompute the last ``days`` of the daily audit rollup and replace
+    those date partitions under ``path`` (dynamic partition overwrite)."""
+    r = audit_daily(src, days, as_of=as_of, materialize=False)
+    (
+        r.df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("event_date")
+        .parquet(path)
+    )
+    return path
+
+
+def stored_audit(spark, path: str, as_of: AsOf, days: int) -> AuditRollup:
+    """A persisted audit rollup as an :class:`AuditRollup` covering ``days``
+    before ``as_of`` (midnight); its date partitions are pruned by the
+    reports' windows."""
+    a = parse_as_of(as_of)
+    if a is None or a.time() != datetime.min.time():
+        raise ValueError("the audit rollup needs an as_of at midnight (whole dates)")
+    return AuditRollup(spark.read.parquet(path), a, days)

@@ -218,3 +218,15 @@ def test_persisted_rollup_refresh_replaces_only_recent_dates(spark, src_small):
         assert sorted(map(tuple, fn(stored).collect())) == sorted(map(tuple, fn(src_small).collect())), name
     plan = REPORTS["cost_burn_rate"](stored)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(usage_date" in plan
+
+
+def test_persisted_audit_rollup(spark, src_small):
+    from opslens.plans import rollups
+
+    path = os.path.join(tempfile.mkdtemp(prefix="opslens-rollup-"), "audit_daily")
+    rollups.refresh_audit_rollup(src_small, path, 90)
+    rollups.refresh_audit_rollup(src_small, path, 7)
+    r = rollups.stored_audit(spark, path, "2024-01-31 00:00:00", 90)
+    assert rollups.top_by_queries_from(r).collect() == REPORTS["users_top_by_queries"](src_small).collect()
+    assert rollups.inactive_from(r, 7, 90).collect() == REPORTS["users_inactive"](src_small, 7, 90).collect()
+    assert rollups.most_accessed_from(r).collect() == REPORTS["catalog_most_accessed"](src_small).collect()
