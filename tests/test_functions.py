@@ -125,3 +125,21 @@ def test_ratio_half_up_matches_decimal(spark):
 def test_compact_number_passes_text_through(spark):
     df = spark.createDataFrame([("N/A",), ("1234",), (None,)], "x string")
     assert [r["y"] for r in df.select(compact_number("x").alias("y")).collect()] == ["N/A", "1.2K", None]
+
+
+def test_as_of_with_offset(spark):
+    """Zoned columns keep the instant of an offset as_of; NTZ and date
+    columns use its wall clock."""
+    from datetime import date, datetime
+
+    from pyspark.sql import types as T
+
+    from opslens.functions import now, since
+
+    row = spark.range(1).select(
+        now("2024-01-31T00:00:00+02:00", T.TimestampNTZType()).alias("ntz"),
+        since("2024-01-31T00:00:00+02:00", T.DateType(), days=1).alias("d"),
+        F.date_format(now("2024-01-31T00:00:00+02:00", T.TimestampType()), "yyyy-MM-dd HH:mm").alias("ltz_utc"),
+    ).first()
+    assert row["ntz"] == datetime(2024, 1, 31) and row["d"] == date(2024, 1, 30)
+    assert row["ltz_utc"] == "2024-01-30 22:00"  # session zone UTC in tests
