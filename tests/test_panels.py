@@ -230,3 +230,13 @@ def test_persisted_audit_rollup(spark, src_small):
     assert rollups.top_by_queries_from(r).collect() == REPORTS["users_top_by_queries"](src_small).collect()
     assert rollups.inactive_from(r, 7, 90).collect() == REPORTS["users_inactive"](src_small, 7, 90).collect()
     assert rollups.most_accessed_from(r).collect() == REPORTS["catalog_most_accessed"](src_small).collect()
+
+
+def test_partitioned_report_write(spark, src_small):
+    df = REPORTS["jobs_daily_run_volume"](src_small)
+    out = os.path.join(tempfile.mkdtemp(prefix="opslens-sink-"), "volume")
+    write_report(df, out, partition_by=("run_date",))
+    dirs = [d for d in os.listdir(out) if d.startswith("run_date=")]
+    assert len(dirs) == df.count()
+    back = spark.read.parquet(out)
+    assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
