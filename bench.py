@@ -31,10 +31,17 @@ def main(argv: list[str]) -> None:
 
     spark = local_session(cpus=cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "8")))
     names = argv or list(HEADLINE)
+    errors: dict[str, str] = {}
     for name in names:  # one pass to warm the JVM (JIT, class loading) for all queries
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-    times: dict[str, float] = {}
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        except Exception as e:  # reported below, never hidden
+            errors[name] = f"{type(e).__name__}: {str(e)[:300]}"
+    times: dict[str, float | None] = {}
     for name in names:
+        if name in errors:
+            times[name] = None
+            continue
         query = QUERIES[name]
         samples = []
         for i in range(runs + 1):
@@ -50,12 +57,14 @@ def main(argv: list[str]) -> None:
         json.dumps(
             {
                 "metric": "report_suite_seconds",
-                "value": round(sum(times.values()), 3),
+                "value": round(sum(t for t in times.values() if t is not None), 3),
                 "unit": "sec",
                 "queries": times,
                 "sf": float(m.group(1)) if m else sf_dir,
                 "cpus": cpus,
                 "runs": runs,
+                "failed": sorted(errors),
+                "errors": errors,
             }
         )
     )
