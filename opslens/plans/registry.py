@@ -13,13 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import flag_rows, trend_glyphs
 from ..functions import preview
+from ..operators import flag_rows, trend_glyphs
 from ..sources import BILLING_USAGE, JOB_RUNS, QUERY_HISTORY, Sources
 from ..sources.fixtures import bind_driver_tables
-from . import REPORTS, catalog, custom, kpis
-from . import rollups
-from .rollups import with_usage_rollup
+from . import REPORTS, catalog, custom, kpis, rollups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,7 +83,7 @@ def _variant(name: str, **kwargs) -> Query:
 def _rolled(name: str) -> Query:
     """A usage report fed by the daily usage rollup (checkpointed once)."""
     fn = REPORTS[name]
-    return lambda spark, sf_dir: fn(with_usage_rollup(bound(spark, sf_dir), ROLLUP_DAYS))
+    return lambda spark, sf_dir: fn(rollups.with_usage_rollup(bound(spark, sf_dir), ROLLUP_DAYS))
 
 
 ROLLUP_DAYS = 30
