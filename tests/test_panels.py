@@ -240,3 +240,17 @@ def test_partitioned_report_write(spark, src_small):
     assert len(dirs) == df.count()
     back = spark.read.parquet(out)
     assert sorted(map(tuple, back.select(*df.columns).collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_cli_binds_parquet_folders(spark, src_small):
+    from opslens.__main__ import main
+
+    base = tempfile.mkdtemp(prefix="opslens-cli-src-")
+    for name in ("job_runs", "jobs"):
+        src_small[name].write.parquet(os.path.join(base, name))
+    out = os.path.join(base, "reports")
+    argv = ["--bind", f"job_runs=parquet:{base}/job_runs", "--bind", f"jobs=parquet:{base}/jobs",
+            "--panels", "jobs", "--as-of", "2001-08-01 00:00:00", "--out", out]
+    assert main(argv) == 0
+    got = spark.read.parquet(os.path.join(out, "jobs", "jobs_top_failures")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, REPORTS["jobs_top_failures"](src_small).collect()))
