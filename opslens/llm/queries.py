@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cover_tree, decontaminate, langid, ngram_join, quality, secrets, substring_dedup
-from .common import table
+from . import bpe, cover_tree, decontaminate, langid, line_dedup, ngram_join, quality, secrets, substring_dedup, token_stream
+from .common import shared_path, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,10 +44,26 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n_lines", "n_repeats", "n_removed", "is_copy",
+        F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op8_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "tokens")
+    token_stream.write_tokens(
+        table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+    )
+    return token_stream.read_tokens(spark, path)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), digest=True)
     return cut.select("doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
@@ -64,7 +80,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_quality": op4_quality,
     "op5_decontaminate": op5_decontaminate,
+    "op6_line_dedup": op6_line_dedup,
     "op7_ngram_join": op7_ngram_join,
+    "op8_token_stream": op8_token_stream,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bpe": op10_bpe,
 }
