@@ -184,22 +184,20 @@ def _logits(text: bytes, scores: np.ndarray) -> np.ndarray:
     return total / max(n, 1) + scores[-1]
 
 
+def _judge(text: str | None, model: LanguageModel) -> tuple[str, float, bool]:
+    """Language, calibrated probability, and whether the text is rejected."""
+    if text is None or not model.languages or not has_letter(text):
+        return UNDETERMINED, 0.0, True
+    p = _softmax(_logits(text.encode(), model.scores)[None, :] / model.temperature)[0]
+    best = int(p.argmax())
+    return model.languages[best], min(1.0, float(p[best])), bool(p[best] < model.threshold)
+
+
 def _predict(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    model: LanguageModel = shared.value
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        names, scores, rejected = [], [], []
-        for text in texts:
-            if text is None or not model.languages or not has_letter(text):
-                names.append(UNDETERMINED)
-                scores.append(0.0)
-                rejected.append(True)
-                continue
-            p = _softmax(_logits(text.encode(), model.scores)[None, :] / model.temperature)[0]
-            best = int(p.argmax())
-            names.append(model.languages[best])
-            scores.append(min(1.0, float(p[best])))
-            rejected.append(bool(p[best] < model.threshold))
+        texts = batch.column("text")
+        rows = [_judge(texts[i].as_py(), shared.value) for i in range(batch.num_rows)]
+        names, scores, rejected = zip(*rows) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())],
             names=["doc_id", "lang_pred", "score", "rejected"],
@@ -216,6 +214,19 @@ def predict_language(docs: DataFrame, model: LanguageModel) -> DataFrame:
     return map_arrow(rows, lambda it: _predict(it, shared), _RESULT)
 
 
+def accepted(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not rejected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("text")
+            mask = [not _judge(texts[i].as_py(), shared.value)[2] for i in range(batch.num_rows)]
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return map_arrow(docs, keep, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     """The rows kept from learning: crc32 of the id as text leaves 1 modulo 3
     (a null id is not held out)."""
