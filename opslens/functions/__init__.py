@@ -6,6 +6,7 @@ whole-stage codegen and fold to literals where their inputs are constant.
 from __future__ import annotations
 
 from datetime import date, datetime, timedelta
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,12 +29,20 @@ def parse_as_of(as_of: AsOf) -> datetime | None:
     return datetime.fromisoformat(str(as_of))
 
 
+def wall_clock(moment: datetime | None, spark) -> datetime | None:
+    """``moment`` on the session zone's clock, without an offset."""
+    if moment is None or moment.tzinfo is None:
+        return moment
+    return moment.astimezone(ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))).replace(tzinfo=None)
+
+
 def _literal(moment: datetime, dtype: T.DataType) -> Column:
     """A constant of the column's own type, so comparisons stay on the raw
     column and reach the scan as pushed filters."""
-    if isinstance(dtype, T.DateType):
-        return F.lit(moment.date().isoformat()).cast("date")
     text = moment.isoformat(sep=" ")
+    if isinstance(dtype, T.DateType):
+        # a moment with an offset has its date in the session's zone, as the rows have
+        return F.lit(text).cast("timestamp").cast("date") if moment.tzinfo else F.lit(moment.date().isoformat()).cast("date")
     if isinstance(dtype, T.TimestampType):
         return F.lit(text).cast("timestamp")
     return F.lit(text).cast("timestamp_ntz")
@@ -61,6 +70,8 @@ def since(as_of: AsOf, dtype: T.DataType, days: int = 0, hours: int = 0) -> Colu
     if moment is not None:
         return _literal(moment - timedelta(days=days, hours=hours), dtype)
     if isinstance(dtype, T.DateType):
+        if hours:
+            return since(None, T.TimestampNTZType(), days, hours).cast("date")
         return F.date_sub(F.current_date(), days)
     return now(None, dtype) - F.make_dt_interval(F.lit(days), F.lit(hours))
 

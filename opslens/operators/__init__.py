@@ -106,13 +106,11 @@ def share_of_total(
 ) -> DataFrame:
     """Row count per key and its percentage of all rows (HALF_UP, ``scale``).
 
-    The grand total is a scalar subquery (a distributed partial/final count,
-    evaluated once and inlined as a constant), not a key-less window, so no
-    step funnels the groups through a single task however many keys exist."""
+    The grand total is the sum of the grouped counts, so the rows are read
+    once; only the groups (one row per key) meet in one task."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
-    total = df.agg(F.count(F.lit(1)).alias("__total")).scalar()
     return (
-        counts.withColumn("__total", total)
+        counts.withColumn("__total", F.sum(count_col).over(Window.partitionBy(F.lit(0))))
         .withColumn(pct_col, ratio_half_up(F.col(count_col) * F.lit(100), F.col("__total"), scale))
         .drop("__total")
     )
@@ -138,7 +136,7 @@ def latest_per_key(df: DataFrame, key: str, value: str, order: str | None = None
     ``order`` (or the greatest ``value`` when no order column exists).
 
     Used to deduplicate slowly changing dimensions before joining them."""
-    picked = F.max_by(value, order) if order else F.max(value)
+    picked = F.max_by(value, F.struct(order, value)) if order else F.max(value)
     return df.groupBy(key).agg(picked.alias(value))
 
 
@@ -162,8 +160,9 @@ def valid_on_join(
 
     Valid means equal on ``on``, ``start <= at`` and ``end IS NULL OR end > at``.
     ``values`` are the dimension columns to bring over.  With
-    ``dedup="latest"`` only the valid row with the greatest ``start`` is kept
-    per fact (``fact_key`` must identify a fact row); ``"all"`` keeps every
+    ``dedup="latest"`` only the valid row with the greatest ``start`` (of those,
+    an open or the latest ``end``, then the greatest values) is kept per fact
+    (``fact_key`` must identify a fact row); ``"all"`` keeps every
     valid row (facts repeat when validity intervals overlap).
 
     Call it on *aggregated* facts (one row per date and key), so the join runs
@@ -183,7 +182,11 @@ def valid_on_join(
     ]
     joined = facts.join(renamed, cond, "left")
     if dedup == "latest":
-        w = Window.partitionBy(*fact_key).orderBy(F.col("__dim_start").desc_nulls_last())
+        w = Window.partitionBy(*fact_key).orderBy(
+            F.col("__dim_start").desc_nulls_last(),
+            F.col("__dim_end").desc_nulls_first(),
+            *[F.col(v).desc_nulls_last() for v in values],
+        )
         joined = joined.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") == 1)
     return joined.select(*facts.columns, *values.keys())
 
@@ -233,14 +236,11 @@ def last_seen_between(
     inactive = last.filter(F.col("last_seen") < since(as_of, dtype, days=inner))
     if null_aware:
         active = lookback(df.select(key, ts), ts, as_of, days=inner)
-        stats = active.agg(
-            F.count_if(F.col(key).isNull()).alias("nulls"), F.count(F.lit(1)).alias("rows")
-        )
-        null_active = stats.select("nulls").scalar()
-        any_active = stats.select("rows").scalar()
-        inactive = inactive.filter(
-            (F.col(key).isNotNull() & (null_active == 0)) | (F.col(key).isNull() & (any_active == 0))
-        )
+        # 1 if a NULL key is active, else 0 if any key is, else -1: one aggregate
+        state = active.agg(
+            F.coalesce(F.max(F.when(F.col(key).isNull(), 1).otherwise(0)), F.lit(-1)).alias("state")
+        ).scalar()
+        inactive = inactive.filter((F.col(key).isNotNull() & (state != 1)) | (F.col(key).isNull() & (state == -1)))
     return inactive.withColumn("days_inactive", F.datediff(now(as_of, dtype), F.col("last_seen")).cast("long"))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import micros_between, ratio_half_up
-from ..operators import asc, desc, share_of_total, status_by_day, top_n
+from ..operators import asc, desc, latest_per_key, share_of_total, status_by_day, top_n
 from ..params import AsOf
 from ..sources import JOB_RUNS, JOBS, Sources
 from .vocab import FAILED, SUCCEEDED
@@ -15,28 +15,14 @@ def _runs(src: Sources, days: int, as_of: AsOf) -> DataFrame:
     return src.recent(JOB_RUNS, "run_start_time", as_of, days=days)
 
 
-# Largest top-k side that is broadcast to fetch job names (rows).
-BROADCAST_TOP_K_MAX = 100_000
+def _with_job_names(top: DataFrame, src: Sources) -> DataFrame:
+    """Left-join the latest job names to an already aggregated / cut frame.
 
-
-def _bounded(limit: int | None) -> bool:
-    return limit is not None and limit <= BROADCAST_TOP_K_MAX
-
-
-def _with_job_names(top: DataFrame, src: Sources, key: list[str], bounded: bool) -> DataFrame:
-    """Left-join job names to an already aggregated / cut frame.
-
-    With ``bounded`` the frame is a top-k of at most ``limit`` rows (at most
-    ``BROADCAST_TOP_K_MAX``; 20 in the panels): it is broadcast into
-    an inner join that streams the job definitions once, with no shuffle of
-    them; the few matched names are then left-joined back.  Otherwise both
-    sides are shuffled on ``job_id``.  A job defined more than once keeps its
-    greatest name, so rows never fan out."""
-    defs = src[JOBS].select("job_id", F.col("name").alias("__name"))
-    if bounded:
-        ids = F.broadcast(top.select("job_id").distinct())
-        defs = defs.join(ids, "job_id")
-    names = defs.groupBy("job_id").agg(F.max("__name").alias("job_name"))
+    A job defined more than once has the name with the latest
+    ``change_time``, if the definitions carry that column, else the greatest
+    one, so rows never fan out.  Spark sizes the join at run time."""
+    defs = src[JOBS].withColumnRenamed("name", "job_name")
+    names = latest_per_key(defs, "job_id", "job_name", "change_time" if "change_time" in defs.columns else None)
     return top.join(names, "job_id", "left")
 
 
@@ -58,7 +44,7 @@ def jobs_top_failures(src: Sources, days: int = 30, limit: int | None = 20, *, a
     )
     order = desc("failure_count") + asc("job_id")
     top = top_n(per_job, order, limit)
-    named = _with_job_names(top, src, ["job_id", "failure_count", "last_failure"], bounded=_bounded(limit))
+    named = _with_job_names(top, src)
     return named.select("job_id", "job_name", "failure_count", "last_failure").orderBy(*order)
 
 
@@ -77,9 +63,7 @@ def jobs_longest_runs(src: Sources, days: int = 30, limit: int | None = 20, *, a
     )
     order = desc("duration_min") + asc("run_id")
     top = top_n(timed, order, limit)
-    named = _with_job_names(
-        top, src, ["job_id", "run_id", "result_state", "duration_min", "run_start_time"], bounded=_bounded(limit)
-    )
+    named = _with_job_names(top, src)
     return named.select("job_id", "job_name", "run_id", "result_state", "duration_min", "run_start_time").orderBy(
         *order
     )

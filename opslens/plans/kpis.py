@@ -49,11 +49,15 @@ def unavailable(spark: SparkSession, panel: str, metric: str) -> DataFrame:
     return spark.createDataFrame([(panel, metric, None, None, None, "unavailable")], KPI_SCHEMA)
 
 
-def _safe(spark: SparkSession, panel: str, metric: str, build: Callable[[], DataFrame]) -> DataFrame:
+def _safe(
+    spark: SparkSession, panel: str, metrics: str | tuple[str, ...], build: Callable[[], DataFrame]
+) -> DataFrame:
+    """The KPI rows, or an unavailable row for each metric if a source is not bound."""
     try:
         return build()
     except SourceUnavailable:
-        return unavailable(spark, panel, metric)
+        names = (metrics,) if isinstance(metrics, str) else metrics
+        return _union([unavailable(spark, panel, m) for m in names])
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -64,7 +68,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 
 def _spark(src: Sources) -> SparkSession:
-    return src.spark()
+    return SparkSession.active()
 
 
 def kpis_health(src: Sources, days: int = 30, catalogs: tuple[str, ...] = (), *, as_of: AsOf = None) -> DataFrame:
@@ -107,7 +111,7 @@ def kpis_cost(src: Sources, days: int = 30, *, as_of: AsOf = None) -> DataFrame:
             F.lit("ok").alias("status"),
         )
 
-    return _safe(spark, "cost", "burn_rate", build)
+    return _safe(spark, "cost", ("total_dbu", "avg_daily_dbu", "projected_monthly_dbu"), build)
 
 
 def kpis_catalog(src: Sources, catalogs: tuple[str, ...] = (), *, as_of: AsOf = None) -> DataFrame:
@@ -134,11 +138,13 @@ def kpis_jobs(src: Sources, days: int = 30, *, as_of: AsOf = None) -> DataFrame:
         )
         sev = F.when(rate >= 95, F.lit(GOOD)).when(rate >= 80, F.lit(WARNING)).otherwise(F.lit(CRITICAL))
         text = F.when(F.col("total") > 0, F.format_string("%.1f%%", rate)).otherwise(F.lit("0%"))
-        return agg.select(*_kpi("jobs", "success_rate", rate, text, sev)).unionByName(
-            agg.select(*_kpi("jobs", "total_runs", F.col("total")))
-        )
+        rows = F.array(*[
+            F.struct(*_kpi("jobs", metric, *values))
+            for metric, values in (("success_rate", (rate, text, sev)), ("total_runs", (F.col("total"),)))
+        ])
+        return agg.select(F.inline(rows))
 
-    return _safe(spark, "jobs", "success_rate", build)
+    return _safe(spark, "jobs", ("success_rate", "total_runs"), build)
 
 
 def kpis_governance(

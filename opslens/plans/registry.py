@@ -81,7 +81,7 @@ def _variant(name: str, **kwargs) -> Query:
 
 
 def _rolled(name: str) -> Query:
-    """A usage report fed by the daily usage rollup (checkpointed once)."""
+    """A usage report fed by the daily usage rollup, which each call checkpoints."""
     fn = REPORTS[name]
     return lambda spark, sf_dir: fn(rollups.with_usage_rollup(bound(spark, sf_dir), ROLLUP_DAYS))
 
@@ -113,9 +113,11 @@ QUERIES.update(
         "preview": _preview,
         "scope": lambda spark, d: catalog.catalog_tables_by_schema(bound(spark, d), SCOPED_CATALOGS),
         # report options
-        "health_dbu_trend_filled": _variant("health_dbu_trend", fill_gaps=True),
+        "health_dbu_trend_filled": _variant("health_dbu_trend", fill_gaps=True, as_of="2001-11-08"),
         "cost_daily_by_sku_all_prices": _variant("cost_daily_by_sku", price_dedup="all"),
-        "users_inactive_null_aware": _variant("users_inactive", days=7, lookback_days=90, null_aware=True),
+        "users_inactive_null_aware": _variant(
+            "users_inactive", days=7, lookback_days=90, null_aware=True, as_of="2024-02-10 00:00:00"
+        ),
         "governance_pii_columns_whole_token": _variant("governance_pii_columns", whole_token=True),
         # usage reports over the shared daily rollup
         "health_dbu_today_rollup": _rolled("health_dbu_today"),

@@ -21,7 +21,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import now, parse_as_of, since
+from ..functions import now, parse_as_of, since, wall_clock
 from ..operators import asc, desc, of_actions, top_n
 from ..params import AsOf
 from ..session import ensure_checkpoint_dir
@@ -97,7 +97,7 @@ def audit_daily(src: Sources, days: int, *, as_of: AsOf = None, materialize: boo
 
     Needs an explicit ``as_of`` at midnight (whole dates).  With
     ``materialize`` the rollup is checkpointed once (lineage cut)."""
-    a = parse_as_of(src.as_of(ACCESS_AUDIT, as_of))
+    a = wall_clock(parse_as_of(src.as_of(ACCESS_AUDIT, as_of)), src[ACCESS_AUDIT].sparkSession)
     if a is None or a.time() != datetime.min.time():
         raise ValueError("the audit rollup needs an as_of at midnight (whole dates)")
     ev = src.recent(ACCESS_AUDIT, "event_time", a, days=days)

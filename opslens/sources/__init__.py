@@ -133,8 +133,8 @@ def _matches(family: str | None, dtype: T.DataType) -> bool:
     raise ValueError(family)
 
 
-class SchemaMismatch(ValueError):
-    pass
+class SchemaMismatch(Exception):
+    """A bound frame lacks a column of its source or has it in another type."""
 
 
 class SourceUnavailable(LookupError):
@@ -241,7 +241,8 @@ class Sources:
         out = lookback(df, col, a, days=days, hours=hours)
         pcol = self.partitions.get(name, {}).get(col)
         if pcol:
-            bound = since(a, T.DateType(), days=days, hours=hours)
+            # the date of the very bound that rows are filtered by
+            bound = since(a, df.schema[col].dataType, days=days, hours=hours).cast("date")
             out = out.filter(F.col(pcol) >= bound.cast(df.schema[pcol].dataType))
         return out
 

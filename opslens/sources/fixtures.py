@@ -61,7 +61,8 @@ AUDIT_ACTIONS = (
     "alterTable",
 )
 
-# Users with user_id % 10 == 3 go quiet from this instant on.
+# Users with user_id % 10 == 3 go quiet from this instant on;
+# their later events count for the user with the next id.
 QUIET_FROM = "2024-01-15 00:00:00"
 
 # Price validity intervals [start, end) and their price factor.
@@ -69,8 +70,10 @@ PRICE_PERIODS = (
     ("1995-01-01 00:00:00", "1998-01-01 00:00:00", 1.0),
     ("1998-01-01 00:00:00", "2001-09-01 00:00:00", 2.0),
     ("2001-09-01 00:00:00", None, 4.0),
+    ("2001-10-20 00:00:00", None, 3.0),  # overlaps the one before
 )
 PRICE_PER_BRAND_NUMBER = 0.25
+# The prices of this brand ended a day after they began, so recent usage has none.
 UNPRICED_SKU = "Brand#13"
 
 # Catalog column suffix and type by (p_partkey + n_nationkey) % 6.
@@ -86,8 +89,8 @@ COLUMN_KINDS = (
 # Run result state by order status.
 RUN_STATES = (("F", "FAILED"), ("O", "SUCCEEDED"), ("P", "CANCELED"))
 
-# query_history joins documents on doc_id = event_id % STATEMENT_DOCS.
-STATEMENT_DOCS = 200
+# One run in this many belongs to a job without a definition.
+ADHOC_EVERY = 11
 
 
 def _s(*parts) -> Column:
@@ -145,19 +148,6 @@ class _Tables(dict):
         return df
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Round-robin rows over the session's cores when the scan yields fewer
-    splits than that (the driver tables are single row groups), ahead of
-    heavy per-row work (row expansion, regex and text functions).  A no-op
-    on real layouts, where a table has many files or row groups."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session): keep the layout
-        return df
-    return df.repartition(cores) if splits < cores else df
-
-
 def read_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return _Tables(spark, sf_dir)
 
@@ -166,15 +156,16 @@ def access_audit(t: dict[str, DataFrame]) -> DataFrame:
     ev = t["events"]
     eid, uid = F.col("event_id"), F.col("user_id")
     quiet = (uid % 10 == 3) & (F.col("ts") >= _ntz(QUIET_FROM))
+    acting = F.when(quiet, uid + 1).otherwise(uid)
     target = F.when(eid % 7 != 0, _s("main.s", eid % 5, ".t", eid % 97))
     actions = F.create_map(
         *[x for i, a in enumerate(AUDIT_ACTIONS) for x in (F.lit(i), F.lit(a))],
         F.lit(len(AUDIT_ACTIONS)),
         F.col("event_type"),
     )
-    return ev.filter(~quiet).select(
+    return ev.select(
         F.col("ts").alias("event_time"),
-        _user_name(uid).alias("user_name"),
+        _user_name(acting).alias("user_name"),
         actions[(eid % 16).cast("int")].alias("action_name"),
         F.create_map(
             F.lit("full_name_arg"), target,
@@ -187,16 +178,11 @@ def access_audit(t: dict[str, DataFrame]) -> DataFrame:
 
 def billing_usage(t: dict[str, DataFrame]) -> DataFrame:
     li = t["lineitem"].select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"
+        "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate"
     )
     part = t["part"].select("p_partkey", "p_brand")
     sup = t["supplier"].select("s_suppkey", "s_name")
-    orders = t["orders"].select("o_orderkey", "o_custkey")
-    joined = (
-        li.join(part, li.l_partkey == part.p_partkey)
-        .join(sup, li.l_suppkey == sup.s_suppkey)
-        .join(orders, li.l_orderkey == orders.o_orderkey)
-    )
+    joined = li.join(part, li.l_partkey == part.p_partkey).join(sup, li.l_suppkey == sup.s_suppkey)
     return joined.select(
         F.to_date("l_shipdate").alias("usage_date"),
         F.col("p_brand").alias("sku_name"),
@@ -204,23 +190,21 @@ def billing_usage(t: dict[str, DataFrame]) -> DataFrame:
         F.create_map(F.lit("cluster_name"), F.col("s_name")).alias("custom_tags"),
         F.create_map(
             F.lit("cluster_id"), F.when(F.col("l_linestatus") == "O", _s("c-", F.col("l_suppkey"))),
-            F.lit("job_id"), F.when(F.col("l_returnflag") == "R", _s("j-", F.col("l_partkey") % 50)),
+            F.lit("job_id"), F.when(F.col("l_returnflag") == "R", _s("j-", F.col("l_partkey"))),
         ).alias("usage_metadata"),
         F.create_map(
-            F.lit("run_as"), F.when(F.col("l_returnflag") != "N", _s("user_", F.col("o_custkey") % 40)),
+            F.lit("run_as"), F.when(F.col("l_returnflag") != "N", _s("user_", F.col("l_suppkey"))),
         ).alias("identity_metadata"),
     )
 
 
 def list_prices(t: dict[str, DataFrame]) -> DataFrame:
-    """Brands of ``part`` (one left unpriced) x three validity periods.
+    """Brands of ``part`` x the validity periods (one brand's end at once).
 
     The periods are a literal array exploded per brand: a generator, not a
     join, and the distinct brands are a partial-aggregated shuffle of one
     column."""
-    brands = t["part"].select(F.col("p_brand").alias("sku_name")).distinct().filter(
-        F.col("sku_name") != UNPRICED_SKU
-    )
+    brands = t["part"].select(F.col("p_brand").alias("sku_name")).distinct()
     periods = F.array(
         *[
             F.struct(_ntz(s).alias("start"), _ntz(e).alias("end"), F.lit(f).alias("factor"))
@@ -233,7 +217,8 @@ def list_prices(t: dict[str, DataFrame]) -> DataFrame:
         .select(
             "sku_name",
             F.col("p.start").alias("price_start_time"),
-            F.col("p.end").alias("price_end_time"),
+            F.when(F.col("sku_name") == UNPRICED_SKU, F.col("p.start") + F.expr("INTERVAL 1 DAY"))
+            .otherwise(F.col("p.end")).alias("price_end_time"),
             F.struct((number * F.lit(PRICE_PER_BRAND_NUMBER) * F.col("p.factor")).alias("default")).alias("pricing"),
         )
     )
@@ -245,7 +230,8 @@ def job_runs(t: dict[str, DataFrame]) -> DataFrame:
     end = F.timestamp_add("SECOND", key % 7200, F.col("o_orderdate"))
     return o.select(
         key.alias("run_id"),
-        _s("j-", F.col("o_custkey") % 50).alias("job_id"),
+        F.when(key % ADHOC_EVERY == 0, _s("adhoc-", F.col("o_custkey"))).otherwise(
+            _s("j-", F.col("o_custkey"))).alias("job_id"),
         _decode(F.col("o_orderstatus"), RUN_STATES).alias("result_state"),
         F.col("o_orderdate").alias("run_start_time"),
         F.when(key % 5 != 0, end).alias("run_end_time"),
@@ -254,19 +240,15 @@ def job_runs(t: dict[str, DataFrame]) -> DataFrame:
 
 def jobs(t: dict[str, DataFrame]) -> DataFrame:
     c = t["customer"]
-    return c.filter(F.col("c_custkey") < 45).select(
-        _s("j-", F.col("c_custkey")).alias("job_id"), F.col("c_name").alias("name")
-    )
+    return c.select(_s("j-", F.col("c_custkey")).alias("job_id"), F.col("c_name").alias("name"))
 
 
 def query_history(t: dict[str, DataFrame]) -> DataFrame:
-    ev = _spread(t["events"])
-    # Only STATEMENT_DOCS documents can match; the range filter reaches the
-    # scan, and the remaining side has a fixed size bound.
-    docs = t["documents"].filter((F.col("doc_id") >= 0) & (F.col("doc_id") < STATEMENT_DOCS)).select(
-        "doc_id", "text", "source"
-    )
-    joined = ev.join(docs, (ev.event_id % STATEMENT_DOCS) == docs.doc_id)
+    ev = t["events"]
+    # Statement n is the text of document n modulo the number of documents.
+    docs = t["documents"].select("doc_id", "text", "source")
+    n_docs = t["documents"].agg((F.max("doc_id") + 1).alias("n")).scalar()
+    joined = ev.withColumn("doc", ev.event_id % n_docs).join(docs, F.col("doc") == docs.doc_id)
     eid, etype = F.col("event_id"), F.col("event_type")
     return joined.select(
         _user_name(F.col("user_id")).alias("user_name"),
@@ -311,7 +293,7 @@ def catalog_columns(t: dict[str, DataFrame]) -> DataFrame:
     Nation keys are 0..24, so the candidate keys are generated per part
     (``sequence``) and matched by an equi-join: no nested-loop join, and the
     fan-out per part is at most 25."""
-    part = _spread(t["part"].select("p_partkey", "p_type", "p_brand", "p_size"))
+    part = t["part"].select("p_partkey", "p_type", "p_brand", "p_size")
     nation = t["nation"].select("n_nationkey", "n_name")
     keyed = part.select("*", F.explode(F.sequence(F.lit(0), (F.col("p_size") % 25).cast("int"))).alias("nk"))
     joined = keyed.join(nation, keyed.nk == nation.n_nationkey)

@@ -111,7 +111,12 @@ def test_duplicate_job_definitions_do_not_fan_out(spark):
     defs = spark.createDataFrame([("j1", "old name"), ("j1", "new name")], JOBDEF)
     src = Sources().bind(JOB_RUNS, runs).bind(JOBS, defs)
     rows = plans.jobs_top_failures(src, 30, as_of=NOW).collect()
-    assert len(rows) == 1 and rows[0]["failure_count"] == 3 and rows[0]["job_name"] == "old name"
+    assert len(rows) == 1 and rows[0]["failure_count"] == 3
+    dated = spark.createDataFrame(
+        [("j1", "old name", ts(1)), ("j1", "new name", ts(2))], JOBDEF + ", change_time timestamp_ntz"
+    )
+    rows = plans.jobs_top_failures(src.bind(JOBS, dated), 30, as_of=NOW).collect()
+    assert len(rows) == 1 and rows[0]["job_name"] == "new name"
 
 
 def test_lookback_includes_first_date_and_future(spark):
