@@ -28,7 +28,7 @@ LOG2 = 14  # log2 rows of the embedding table
 DIMENSIONS = 16
 PER_LANGUAGE = 800  # labelled rows sampled of each language, about
 SAMPLE_ROWS = 20_000  # labelled rows sampled at all, at most
-EPOCHS = 6
+STEPS = 1500  # batches of gradient descent, whatever the sample
 REJECTED_SHARE = 0.001  # of rightly predicted calibration rows below the threshold
 CHUNK = 1 << 20  # bytes scored at a time
 UNDETERMINED = "und"
@@ -89,7 +89,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 
 def fit_language_model(
-    labelled: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, epochs: int = EPOCHS
+    labelled: DataFrame, per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS, steps: int = STEPS
 ) -> LanguageModel:
     """Train on ``labelled`` (doc_id, text, lang; null texts and langs are left
     out).  The sample holds about ``per_language`` rows of each language,
@@ -119,7 +119,7 @@ def fit_language_model(
     kept = [i for i, (r, _) in enumerate(bags) if len(r)]
     held = set(kept[::5])  # for calibration
     train = [i for i in kept if i not in held] or kept
-    table, weights, bias = _descend([bags[i] for i in train], y[train], len(languages), epochs)
+    table, weights, bias = _descend([bags[i] for i in train], y[train], len(languages), steps)
     folded = table @ weights.T
 
     def logits(some):
@@ -140,16 +140,15 @@ def fit_language_model(
     return LanguageModel(languages, np.vstack([folded, bias]).astype(np.float32), temperature, threshold)
 
 
-def _descend(bags, y: np.ndarray, k: int, epochs: int, rate: float = 0.5, size: int = 16):
+def _descend(bags, y: np.ndarray, k: int, steps: int, rate: float = 0.5, size: int = 16):
     """Stochastic gradient descent over small batches, the rate falling to zero."""
     rng = np.random.default_rng(7)
     table = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << LOG2, DIMENSIONS)).astype(np.float32)
     weights, bias = np.zeros((k, DIMENSIONS), np.float32), np.zeros(k, np.float32)
-    steps = epochs * -(-len(bags) // size)
     step = 0
-    for _ in range(epochs):
+    while step < steps and bags:
         order = rng.permutation(len(bags))
-        for lo in range(0, len(order), size):
+        for lo in range(0, min(len(order), (steps - step) * size), size):
             some = order[lo : lo + size]
             step += 1
             speed = rate * (1 - step / (steps + 1))
