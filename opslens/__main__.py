@@ -4,8 +4,8 @@
         --panels users,jobs --days 14 --out /reports/today
     python -m opslens --fixtures /root/testdata/sf0.01 --out /tmp/reports --local
 
-Each report lands in ``<out>/<panel>/<report>`` (Parquet by default); nothing
-is collected on the driver.
+Each report lands whole in ``<out>/<panel>/<report>`` (Parquet by default),
+its rows and effective window in ``_status``; nothing is collected on the driver.
 """
 from __future__ import annotations
 
@@ -13,20 +13,28 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from .params import ALL_PANELS, Params
+from .params import ALL_PANELS, CustomPanel, Params
 from .plans.panels import run_all
 from .session import DEFAULT_CONF, ensure_checkpoint_dir, local_session
 from .sources import Sources
 from .sources.sinks import FORMATS, write_report
 
 
-def _read(spark: SparkSession, spec: str):
+def _pairs(specs: list[str]) -> dict[str, str]:
+    return {k.strip(): v.strip() for k, _, v in (s.partition("=") for s in specs)}
+
+
+def _read(spark: SparkSession, spec: str, schema: str | None):
     """``fmt:path`` reads files, anything else is a table name."""
     fmt, sep, path = spec.partition(":")
     if sep and fmt in ("parquet", "orc", "json", "csv", "delta"):
         reader = spark.read.format(fmt)
         if fmt == "csv":
-            reader = reader.option("header", True).option("inferSchema", True)
+            if schema is None:
+                raise ValueError(f"give the columns of {path} with --schema: inferring them reads the whole input")
+            reader = reader.option("header", True)
+        if schema is not None:
+            reader = reader.schema(schema)
         return reader.load(path)
     return spark.table(spec)
 
@@ -34,6 +42,12 @@ def _read(spark: SparkSession, spec: str):
 def main(argv: list[str] | None = None) -> int:
     ap = argparse.ArgumentParser(prog="opslens", description=__doc__.split("\n")[0])
     ap.add_argument("--bind", action="append", default=[], metavar="SOURCE=TABLE|FMT:PATH")
+    ap.add_argument("--schema", action="append", default=[], metavar="SOURCE=DDL", help="columns of a file source")
+    ap.add_argument(
+        "--date-partition", action="append", default=[], metavar="SOURCE.TIME_COLUMN=DATE_COLUMN",
+        help="date column that a table is partitioned on",
+    )
+    ap.add_argument("--custom", action="append", default=[], metavar="TITLE=SQL", help="a panel of its own")
     ap.add_argument("--fixtures", metavar="SF_DIR", help="bind the driver test tables of SF_DIR")
     ap.add_argument("--panels", default=",".join(ALL_PANELS))
     ap.add_argument("--days", type=int, default=30)
@@ -62,9 +76,16 @@ def main(argv: list[str] | None = None) -> int:
         src = bind_driver_tables(spark, a.fixtures)
     else:
         src = Sources()
-    for spec in a.bind:
-        name, _, target = spec.partition("=")
-        src = src.bind(name.strip(), _read(spark, target.strip()))
+    schemas = _pairs(a.schema)
+    partitions: dict[str, dict[str, str]] = {}
+    for place, column in _pairs(a.date_partition).items():
+        source, _, time_column = place.partition(".")
+        partitions.setdefault(source, {})[time_column] = column
+    for name, target in _pairs(a.bind).items():
+        # read when a report first asks, so that a bad source fails its reports only
+        src = src.bind(
+            name, lambda n=name, t=target: _read(spark, t, schemas.get(n)), date_partitions=partitions.get(name)
+        )
 
     params = Params(
         days=a.days,
@@ -72,9 +93,10 @@ def main(argv: list[str] | None = None) -> int:
         panels=tuple(p for p in a.panels.split(",") if p),
         row_limit=a.row_limit,
         as_of=a.as_of,
+        custom_panels=tuple(CustomPanel(title, sql) for title, sql in _pairs(a.custom).items()),
     )
     out = a.out.rstrip("/")
-    for panel, result in run_all(spark, src, params, shared_scans=a.shared_scans).items():
+    for panel, result in run_all(spark, src, params, a.shared_scans, display_caps=False).items():
         for name, df in result.reports.items():
             write_report(df, f"{out}/{panel}/{name}", fmt=a.format, mode=a.mode)
         if result.kpis is not None:

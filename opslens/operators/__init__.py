@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import EMPTY_TREND, alert, glyph, now, ratio_half_up, since
-from ..params import AsOf
+from ..params import AsOf, InvalidParams
 
 # ---------------------------------------------------------------------------
 # Ordering helpers: nulls placement is always spelled out (engines differ)
@@ -227,7 +227,7 @@ def last_seen_between(
     NULL key active in the inner window empties the result, and a NULL key is
     reported when nobody was active."""
     if outer <= inner:
-        raise ValueError("the outer look-back must be longer than the inner one")
+        raise InvalidParams("the outer look-back must be longer than the inner one")
     dtype = df.schema[ts].dataType
     window = lookback(df.select(key, ts), ts, as_of, days=outer)
     if not null_aware:

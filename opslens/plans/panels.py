@@ -1,26 +1,42 @@
 """Panels: the reports a panel shows, with the panel's parameters and caps.
 
 ``run_panel`` builds every report of a panel lazily and returns them with a
-small status frame; nothing runs until the caller acts on a DataFrame (show,
-write, collect at the edge).  A report whose source is not bound is listed
-as ``unavailable``; a report whose parameters are invalid for this panel
-(the inactive-users window once ``days >= 90``) as ``invalid``.  Any other
-error is raised, not swallowed.
+status frame; nothing runs until the caller acts on a DataFrame (show, write,
+collect at the edge).  Each report stands alone: one whose source is not bound
+is ``unavailable``, one whose parameters do not fit (the inactive-users window
+once ``days >= inactive_days``) ``invalid``, one that fails otherwise (bad
+custom SQL, a frame of another schema) ``error`` with the message; all others
+are built.  Status also gives each report's effective window, its rows before
+the display cap, and whether that cap cut it.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions import parse_as_of
-from ..params import Params
+from ..operators import flag_rows, trend_glyphs
+from ..params import InvalidParams, Params
 from ..sources import ACCESS_AUDIT, BILLING_USAGE, SourceUnavailable, Sources
 from . import catalog, cost, custom, governance, health, jobs, kpis, queries, rollups, users
 
-STATUS_SCHEMA = "panel string, report string, status string, message string"
+STATUS_SCHEMA = (
+    "panel string, report string, status string, message string, window_days int, cap int, "
+    "total_rows long, truncated boolean"
+)
+
+# The column that marks alert rows in some panel reports.
+FLAGGED = {
+    "users_permission_changes": "action_name",
+    "jobs_success_rate": "result_state",
+    "governance_access_anomalies": "action_name",
+    "governance_schema_changes": "action_name",
+}
 
 Build = Callable[[Sources, Params], DataFrame]
 
@@ -29,17 +45,35 @@ def _capped(df: DataFrame, cap: int | None) -> DataFrame:
     return df.limit(cap) if cap is not None else df
 
 
+def _windows(p: Params) -> dict[str, int]:
+    """Look-back in days of the reports whose window is not ``days``."""
+    statements = min(p.days, p.statement_days)
+    return {
+        "health_dbu_today": 0, "health_failed_jobs": 1, "health_dbu_trend": min(p.days, p.trend_days),
+        "health_dbu_trend_glyphs": min(p.days, p.trend_days), "users_inactive": min(3 * p.days, p.inactive_days),
+        "queries_slowest": statements, "queries_most_expensive": statements, "queries_top_users": statements,
+        "queries_error_summary": statements, "catalog_stale_tables": 90,
+    }
+
+
+def _glyphs(trend: DataFrame) -> DataFrame:
+    return trend_glyphs(trend.withColumn("series", F.lit("dbu")), ["series"], "usage_date", "dbu")
+
+
 def _panel_reports(p: Params) -> dict[str, dict[str, tuple[Build, int | None]]]:
-    """Report builders and the row cap the panel applies to each."""
+    """Report builders and the row cap (fixed values) a panel displays of each."""
     d, cats = p.days, p.catalogs
-    qd = min(d, 7)  # statement history: at most one week
+    w = _windows(p)
+    qd, trend, idle = w["queries_slowest"], w["health_dbu_trend"], w["users_inactive"]
     return {
         "health": {
             "health_dbu_today": (lambda s, p: health.health_dbu_today(s, as_of=p.as_of), 1),
             "health_active_users": (lambda s, p: health.health_active_users(s, d, as_of=p.as_of), 1),
             "health_failed_jobs": (lambda s, p: health.health_failed_jobs(s, 24, as_of=p.as_of), 1),
             "health_table_count": (lambda s, p: health.health_table_count(s, cats, as_of=p.as_of), 1),
-            "health_dbu_trend": (lambda s, p: health.health_dbu_trend(s, min(d, 14), as_of=p.as_of), p.row_limit),
+            "health_dbu_trend": (lambda s, p: health.health_dbu_trend(s, trend, as_of=p.as_of), p.row_limit),
+            "health_dbu_trend_glyphs": (
+                lambda s, p: _glyphs(health.health_dbu_trend(s, trend, as_of=p.as_of)), p.row_limit),
         },
         "cost": {
             "cost_burn_rate": (lambda s, p: cost.cost_burn_rate(s, d, as_of=p.as_of), 1),
@@ -52,7 +86,7 @@ def _panel_reports(p: Params) -> dict[str, dict[str, tuple[Build, int | None]]]:
             "users_top_by_queries": (lambda s, p: users.users_top_by_queries(s, d, 20, as_of=p.as_of), 20),
             "users_top_by_tables_accessed": (
                 lambda s, p: users.users_top_by_tables_accessed(s, d, 20, as_of=p.as_of), 20),
-            "users_inactive": (lambda s, p: users.users_inactive(s, d, min(3 * d, 90), as_of=p.as_of), 20),
+            "users_inactive": (lambda s, p: users.users_inactive(s, d, idle, as_of=p.as_of), 20),
             "users_permission_changes": (lambda s, p: users.users_permission_changes(s, d, 50, as_of=p.as_of), 30),
         },
         "catalog": {
@@ -117,7 +151,7 @@ def _shared(panel: str, src: Sources, p: Params, defs: dict) -> tuple[Sources, d
     d = p.days
     if panel in ("health", "cost") and src.has(BILLING_USAGE):
         src = rollups.with_usage_rollup(src, d, as_of=p.as_of)
-    audit_days = {"health": d, "users": max(d, min(3 * d, 90)), "catalog": d}.get(panel)
+    audit_days = {"health": d, "users": max(d, min(3 * d, p.inactive_days)), "catalog": d}.get(panel)
     if audit_days is None or not src.has(ACCESS_AUDIT):
         return src, defs
     a = parse_as_of(src.as_of(ACCESS_AUDIT, p.as_of))
@@ -128,56 +162,116 @@ def _shared(panel: str, src: Sources, p: Params, defs: dict) -> tuple[Sources, d
         "health_active_users": lambda s, p: rollups.active_users_from(r, d),
         "users_top_by_queries": lambda s, p: rollups.top_by_queries_from(r, d, 20),
         "users_top_by_tables_accessed": lambda s, p: rollups.top_by_tables_from(r, d, 20),
-        "users_inactive": lambda s, p: rollups.inactive_from(r, d, min(3 * d, 90)),
+        "users_inactive": lambda s, p: rollups.inactive_from(r, d, min(3 * d, p.inactive_days)),
         "catalog_most_accessed": lambda s, p: rollups.most_accessed_from(r, d, 20),
     }
     out = {k: (swaps.get(k, b), cap) for k, (b, cap) in defs.items()}
     return src, out
 
 
+class _Status:
+    """Status rows of a panel; row totals are counted when the frame is."""
+
+    def __init__(self, spark: SparkSession, panel: str, p: Params):
+        self.spark, self.panel, self.p, self.rows, self.counts = spark, panel, p, [], []
+        self.windows = _windows(p)
+
+    def build(self, report: str, make: Callable[[], DataFrame], cap: int | None, message: str | None = None):
+        """The report's frame, or None with the reason in a status row."""
+        try:
+            df = make()
+            df.schema  # analysis errors show here
+        except SourceUnavailable as e:
+            return self._note(report, "unavailable", f"source {e} is not bound")
+        except InvalidParams as e:
+            return self._note(report, "invalid", str(e))
+        except Exception as e:  # of this report alone; the others go on
+            return self._note(report, "error", f"{type(e).__name__}: {str(e)[:500]}")
+        if report in FLAGGED:
+            df = flag_rows(df, FLAGGED[report])
+        total = F.count(F.lit(1))
+        window = self.windows.get(report, self.p.days)
+        self.counts.append(df.agg(total.alias("total_rows")).select(
+            F.lit(self.panel).alias("panel"), F.lit(report).alias("report"), F.lit("ok").alias("status"),
+            F.lit(message).cast("string").alias("message"), F.lit(window).alias("window_days"),
+            F.lit(cap).cast("int").alias("cap"), "total_rows",
+            F.coalesce(F.col("total_rows") > F.lit(cap).cast("int"), F.lit(False)).alias("truncated"),
+        ))
+        return _capped(df, cap)
+
+    def _note(self, report: str, status: str, message: str) -> None:
+        self.rows.append((self.panel, report, status, message, self.windows.get(report, self.p.days), None, None, None))
+
+    def frame(self) -> DataFrame:
+        out = self.spark.createDataFrame(self.rows, STATUS_SCHEMA)
+        for counted in self.counts:
+            out = out.unionByName(counted)
+        return out
+
+
 def run_panel(
-    spark: SparkSession, panel: str, src: Sources, params: Params | None = None, shared_scans: bool = False
+    spark: SparkSession,
+    panel: str,
+    src: Sources,
+    params: Params | None = None,
+    shared_scans: bool = False,
+    display_caps: bool = True,
 ) -> PanelResult:
-    """All reports of ``panel`` (capped as the panel shows them) and its KPIs.
+    """All reports of ``panel`` and its KPIs; with ``display_caps`` cut to the
+    rows that the panel shows, else whole.
 
     ``shared_scans=True`` first materialises the daily rollups the panel's
     reports can share (see :mod:`opslens.plans.rollups`); results are equal."""
     p = params or Params()
     defs = _panel_reports(p)
     if panel not in defs:
-        custom_titles = {c.title: c for c in p.custom_panels}
-        if panel in custom_titles:
-            return run_custom_panel(spark, src, p, panel)
+        if panel in {c.title for c in p.custom_panels}:
+            return run_custom_panel(spark, src, p, panel, display_caps)
         raise ValueError(f"unknown panel {panel!r}")
     panel_defs = defs[panel]
+    status = _Status(spark, panel, p)
     if shared_scans:
-        src, panel_defs = _shared(panel, src, p, panel_defs)
-    reports, rows = {}, []
-    for name, (build, cap) in panel_defs.items():
         try:
-            reports[name] = _capped(build(src, p), cap)
-            rows.append((panel, name, "ok", None))
-        except SourceUnavailable as e:
-            rows.append((panel, name, "unavailable", f"source {e} is not bound"))
-        except ValueError as e:
-            rows.append((panel, name, "invalid", str(e)))
-    status = spark.createDataFrame(rows, STATUS_SCHEMA)
-    return PanelResult(panel, reports, _panel_kpis(panel, src, p), status)
+            src, panel_defs = _shared(panel, src, p, panel_defs)
+        except Exception as e:  # the raw reports still stand
+            status._note("_shared_scans", "error", f"{type(e).__name__}: {str(e)[:500]}")
+    reports = {}
+    for name, (build, cap) in panel_defs.items():
+        df = status.build(name, lambda: build(src, p), cap if display_caps else None)
+        if df is not None:
+            reports[name] = df
+    try:
+        kpi_rows = _panel_kpis(panel, src, p)
+    except Exception as e:
+        kpi_rows = status._note("_kpis", "error", f"{type(e).__name__}: {str(e)[:500]}")
+    return PanelResult(panel, reports, kpi_rows, status.frame())
 
 
-def run_custom_panel(spark: SparkSession, src: Sources, params: Params, title: str) -> PanelResult:
-    """A configured SQL panel, capped at ``row_limit``."""
+def run_custom_panel(
+    spark: SparkSession, src: Sources, params: Params, title: str, display_caps: bool = True
+) -> PanelResult:
+    """A configured SQL panel; displays are cut to ``row_limit``."""
     cfg = {c.title: c for c in params.custom_panels}[title]
-    df = custom.custom_report(spark, src, cfg.sql, limit=params.row_limit)
-    status = spark.createDataFrame([(title, title, "ok", cfg.description or None)], STATUS_SCHEMA)
-    return PanelResult(title, {title: df}, None, status)
+    status = _Status(spark, title, params)
+    cap = params.row_limit if display_caps else None
+    df = status.build(title, lambda: custom.custom_report(spark, src, cfg.sql), cap, cfg.description or None)
+    return PanelResult(title, {} if df is None else {title: df}, None, status.frame())
 
 
 def run_all(
-    spark: SparkSession, src: Sources, params: Params | None = None, shared_scans: bool = False
+    spark: SparkSession,
+    src: Sources,
+    params: Params | None = None,
+    shared_scans: bool = False,
+    display_caps: bool = True,
 ) -> dict[str, PanelResult]:
+    """Every panel. Without ``as_of`` the session's time is taken once, for
+    all sources that have no clock of their own."""
     p = params or Params()
-    out = {name: run_panel(spark, name, src, p, shared_scans) for name in p.panels}
+    if p.as_of is None:
+        zone = ZoneInfo(spark.conf.get("spark.sql.session.timeZone"))
+        src = src.pinned(datetime.now(zone).replace(tzinfo=None))
+    out = {name: run_panel(spark, name, src, p, shared_scans, display_caps) for name in p.panels}
     for c in p.custom_panels:
-        out[c.title] = run_custom_panel(spark, src, p, c.title)
+        out[c.title] = run_custom_panel(spark, src, p, c.title, display_caps)
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..functions import now, parse_as_of, since, wall_clock
 from ..operators import asc, desc, of_actions, top_n
-from ..params import AsOf
+from ..params import AsOf, InvalidParams
 from ..session import ensure_checkpoint_dir
 from ..sources import ACCESS_AUDIT, BILLING_USAGE, Sources, field
 from .vocab import QUERY_ACTIONS, TABLE_ACCESS_ACTIONS, TABLE_READ_ACTIONS
@@ -152,7 +152,7 @@ def top_by_tables_from(r: AuditRollup, days: int = 30, limit: int | None = 20) -
 def inactive_from(r: AuditRollup, days: int = 30, lookback_days: int = 90) -> DataFrame:
     """``users_inactive`` (NULL users ignored) from the rollup."""
     if lookback_days <= days:
-        raise ValueError("lookback_days must be longer than days")
+        raise InvalidParams("lookback_days must be longer than days")
     last = (
         r.window(lookback_days)
         .filter(F.col("user_name").isNotNull())

@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import asc, desc, last_seen_between, of_actions, top_n
-from ..params import AsOf
+from ..params import AsOf, InvalidParams
 from ..sources import ACCESS_AUDIT, Sources, field
 from .vocab import PERMISSION_ACTIONS, QUERY_ACTIONS, TABLE_ACCESS_ACTIONS
 
@@ -55,7 +55,7 @@ def users_inactive(
     and a ``NOT IN``.  NULL users are ignored unless ``null_aware=True``,
     which reproduces the ``NOT IN`` semantics exactly."""
     if lookback_days <= days:
-        raise ValueError("lookback_days must be longer than days")
+        raise InvalidParams("lookback_days must be longer than days")
     a = src.as_of(ACCESS_AUDIT, as_of)
     window = src.recent(ACCESS_AUDIT, "event_time", a, days=lookback_days)  # prunes date partitions
     idle = last_seen_between(

@@ -246,10 +246,11 @@ class Sources:
             out = out.filter(F.col(pcol) >= bound.cast(df.schema[pcol].dataType))
         return out
 
-    def spark(self):
-        for name in self._bindings:
-            return self[name].sparkSession
-        raise SourceUnavailable("no source is bound")
+    def pinned(self, moment: AsOf) -> "Sources":
+        """The same bindings, with ``moment`` as the clock of every source that has none."""
+        out = Sources(self._bindings, {n: self.clocks.get(n, moment) for n in self._bindings}, self.partitions)
+        out._frames.update(self._frames)
+        return out
 
     def register_views(self, spark, prefix: str = "", only_in: str | None = None) -> list[str]:
         """Expose bound sources as temp views (for custom SQL).
