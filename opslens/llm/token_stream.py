@@ -41,7 +41,7 @@ SEGMENT = 1 << 21  # ids in a segment, about
 BLOCK = 1 << 17  # ids in a block
 LANES = 512
 SCALE = 18  # log2 of the sum of frequencies, at least
-CACHED = 200_000  # pieces and pre-tokens whose ids a worker keeps, about twice as many
+CACHED = 400_000  # pieces and pre-tokens whose ids a worker keeps, about twice as many
 MAGIC, VERSION = b"RANS", 1
 
 _U = np.uint64
