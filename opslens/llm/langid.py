@@ -28,6 +28,7 @@ LOG2 = 14  # log2 rows of the embedding table
 DIMENSIONS = 16
 PER_LANGUAGE = 800  # labelled rows sampled of each language, about
 SAMPLE_ROWS = 20_000  # labelled rows sampled at all, at most
+MAX_LANGUAGES = 1000  # languages learned at most, the most frequent ones
 STEPS = 1500  # batches of gradient descent, whatever the sample
 REJECTED_SHARE = 0.001  # of rightly predicted calibration rows below the threshold
 CHUNK = 1 << 20  # bytes scored at a time
@@ -93,18 +94,17 @@ def fit_language_model(
 ) -> LanguageModel:
     """Train on ``labelled`` (doc_id, text, lang; null texts and langs are left
     out).  The sample holds about ``per_language`` rows of each language,
-    drawn by a hash of doc_id and text, and at most ``sample_rows`` rows; its
-    n-gram counts reach the driver.  Without labelled rows nothing is learned
+    drawn by a hash of doc_id and text, of at most MAX_LANGUAGES languages and
+    ``sample_rows`` rows; its n-gram counts reach the driver.  Without labelled rows nothing is learned
     and every text is undetermined."""
     rows = labelled.where("lang is not null and text is not null").select(
         "lang", "text", F.xxhash64("doc_id", "text").alias("order")
     )
-    share = rows.groupBy("lang").agg((F.lit(float(per_language)) / F.count("*")).alias("share"))
-    drawn = (
-        rows.join(share, "lang")
-        .where((F.pmod("order", F.lit(1 << 30)) / (1 << 30)) < F.col("share"))
-        .select("lang", "text", "order")
-    )
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    if not counts:
+        return LanguageModel([], np.zeros((1, 0), np.float32), 1.0, 0.0)
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], per_language / r["n"])])
+    drawn = rows.where((F.pmod("order", F.lit(1 << 30)) / (1 << 30)) < share[F.col("lang")])
     sample = map_arrow(drawn, _bags, "lang string, order long, rows array<int>, counts array<int>")
     sample = sample.orderBy("order", "lang").limit(sample_rows).toArrow()
     names = sample.column("lang").to_pylist()
