@@ -112,10 +112,12 @@ def fit_language_model(
     if not languages:
         return LanguageModel([], np.zeros((1, 0), np.float32), 1.0, 0.0)
     y = np.array([languages.index(n) for n in names])
-    bags = [
-        (np.asarray(r, np.int64), np.asarray(c, np.float32))
-        for r, c in zip(sample.column("rows").to_pylist(), sample.column("counts").to_pylist())
-    ]
+    lists = [sample.column(c).combine_chunks() for c in ("rows", "counts")]
+    offsets = np.asarray(lists[0].offsets)
+    rows, counts = (x.values.to_numpy() for x in lists)
+    counts = counts.astype(np.float32)
+    bags = [(rows[lo:hi], counts[lo:hi]) for lo, hi in zip(offsets, offsets[1:])]
+    del sample, lists
     kept = [i for i, (r, _) in enumerate(bags) if len(r)]
     held = set(kept[::5])  # for calibration
     train = [i for i in kept if i not in held] or kept
