@@ -7,7 +7,8 @@ once; hits are mapped back to words and to code-point offsets of the original.
 
 The automaton is broadcast, so its size is checked first: test sets with more
 than SHARD_CHARS characters of windows are dealt into several automata, which
-scan the documents one after the other in the same stage.
+scan the documents one after the other; the hits so far are written between
+two scans, so that a task holds one automaton at a time.
 """
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, written
 
 WINDOW = 10  # words in a window
-SHARD_CHARS = 16_000_000  # window characters in one automaton
+SHARD_CHARS = 4_000_000  # window characters in one automaton (about 45 bytes of memory each)
 
 # Byte classes of the word pattern; other bytes become spaces.
 _NORMAL = bytes(
@@ -55,8 +56,7 @@ _BUILT: dict[str, ahocorasick.Automaton] = {}
 def _automaton(key: str, windows: list[tuple[bytes, list[int]]]) -> ahocorasick.Automaton:
     """Built once per Python worker; bytes stand as Latin-1 characters."""
     if key not in _BUILT:
-        if len(_BUILT) > 3:
-            _BUILT.clear()
+        _BUILT.clear()  # one at a time: they are large
         auto = ahocorasick.Automaton()
         for i, (window, _) in enumerate(windows):
             auto.add_word(f" {window.decode('latin-1')} ", (i, window.count(b" ") + 1))
@@ -167,4 +167,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
         shard = docs.sparkSession.sparkContext.broadcast(rows)
         key, last = uuid.uuid4().hex, k == shards - 1
         out = map_arrow(out, lambda it, s=shard, n=key, z=last: _scan(it, s, n, z), _RESULT if last else _HITS)
+        if not last:
+            out = written(out, "hits")
     return out
