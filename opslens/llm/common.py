@@ -1,6 +1,7 @@
 """Helpers shared by the operators: tables, shared storage, bit filters, runs."""
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -57,10 +58,27 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def release_memory() -> None:
+    """Give memory that Arrow and the C library keep for later use back to the
+    system.  Python workers live on between tasks, beside the JVM's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:  # GNU systems have it
+        trim(0)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the Python workers."""
+    """``df.mapInArrow`` with this package at hand in the Python workers, which
+    keep no freed memory after a task."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            release_memory()
+
+    return df.mapInArrow(task, schema)
 
 
 # --- fixed-size membership filters ------------------------------------------

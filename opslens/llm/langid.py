@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow
+from .common import map_arrow, release_memory
 
 NGRAMS = (2, 3, 4)  # bytes in a subword
 LOG2 = 14  # log2 rows of the embedding table
@@ -121,6 +121,7 @@ def fit_language_model(
     kept = [i for i, (r, _) in enumerate(bags) if len(r)]
     held = set(kept[::5])  # for calibration
     train = [i for i in kept if i not in held] or kept
+    release_memory()
     table, weights, bias = _descend([bags[i] for i in train], y[train], len(languages), steps)
     folded = table @ weights.T
 
@@ -134,6 +135,8 @@ def fit_language_model(
         return -np.log(_softmax(z / t)[np.arange(len(z)), right] + 1e-12).mean()
 
     temperature = min((float(t) for t in np.geomspace(0.05, 20, 61)), key=loss)
+    del bags, rows, counts
+    release_memory()
     p = _softmax(z / temperature)
     sure = np.sort(p.max(axis=1)[p.argmax(axis=1) == right])
     # no clean text should be lost: half of the least confidence that all but
