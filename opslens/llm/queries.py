@@ -59,7 +59,8 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_stream.write_tokens(
-        table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+        table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN,
+        added_tokens=True,
     )
     return token_stream.read_tokens(spark, path)
 

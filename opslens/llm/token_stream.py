@@ -218,14 +218,25 @@ class ByteTokenizer:
     reach across a space that follows another character than white space.  So
     texts are cut at such spaces, and the library's model is asked once for
     each distinct pre-token while it is remembered.
+
+    With ``added_tokens`` the ids are those of the library's own encoding: an
+    added token of the file that stands in a text is one id, and the text
+    between two of them is encoded on its own.  Without, special tokens are
+    spelled out like any other text.
     """
 
     _CUT = regex.compile(r"(?<=\S) ")
     _UNSAFE = regex.compile(r"\s ")
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added_tokens: bool = False):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = self.tokenizer.get_added_tokens_decoder() if added_tokens else {}
+        self.added = {t.content: struct.pack("<I", i) for i, t in added.items()}
+        # tokens that take in white space or need a word's edge are the library's to find
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word for t in added.values())
+        names = sorted(self.added, key=len, reverse=True)
+        self.special = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
         self.letters = _byte_letters()
         model, split = self.tokenizer.model, regex.compile(pattern)
 
@@ -250,14 +261,22 @@ class ByteTokenizer:
         """Ids as 32-bit little-endian bytes."""
         self.tokens.age()
         self.pieces.age()
+        if self.special is None or not self.special.search(text):
+            return self._between(text)
+        if not self.plain:
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(self.added[t] if t in self.added else self._between(t) for t in self.special.split(text))
+
+    def _between(self, text: str) -> bytes:
+        """Ids of a text without added tokens."""
         cut = self._CUT.split(text) if self._UNSAFE.search(text) else text.split(" ")
         head = self.first(cut[0]) if cut[0] else b""
         return head + b"".join(map(self.pieces.__getitem__, cut[1:]))
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str, pattern: str) -> ByteTokenizer:
-    return ByteTokenizer(path, pattern)
+def tokenizer(path: str, pattern: str, added_tokens: bool = False) -> ByteTokenizer:
+    return ByteTokenizer(path, pattern, added_tokens)
 
 
 # --- on Spark -----------------------------------------------------------------
@@ -265,8 +284,10 @@ def tokenizer(path: str, pattern: str) -> ByteTokenizer:
 _SEGMENTS = "part int, number int, n_docs long, n_tokens long, payload binary"
 
 
-def _segments(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    coder, end = tokenizer(path, pattern), struct.pack("<I", end_id)
+def _segments(
+    batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id: int, added_tokens: bool
+) -> Iterator[pa.RecordBatch]:
+    coder, end = tokenizer(path, pattern, added_tokens), struct.pack("<I", end_id)
     part, number, docs, held, size = TaskContext.get().partitionId(), 0, [], [], 0
 
     def flush() -> pa.RecordBatch:
@@ -289,17 +310,21 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id
         yield flush()
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 0) -> None:
+def write_tokens(
+    docs: DataFrame, path: str, tokenizer_path: str, pattern: str, end_id: int = 0, added_tokens: bool = False
+) -> None:
     """Encode every whole text and write the segments to ``path``.
 
     ``docs`` needs doc_id (long) and text (string); other columns are ignored.
     A null text is empty and has the end id alone.  Rows come in ascending
     order of doc_id (null first), then text; rows that repeat stay.  An empty
-    table writes no segments.
+    table writes no segments.  With ``added_tokens`` the ids are the library's
+    own, in which added tokens of the file count; without, special tokens are
+    plain text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    map_arrow(ordered, lambda it: _segments(it, tokenizer_path, pattern, end_id), _SEGMENTS).write.parquet(path)
+    map_arrow(ordered, lambda it: _segments(it, tokenizer_path, pattern, end_id, added_tokens), _SEGMENTS).write.parquet(path)
 
 
 _READ = "part int, number int, place long, doc_id long, skipped long, n_tokens long, ids_crc32 long, ids array<int>"

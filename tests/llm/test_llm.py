@@ -348,6 +348,26 @@ def test_pretoken_cache_equals_the_library():
         assert list(np.frombuffer(mine.encode(text), "<u4")) == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    mine, theirs, rng = token_stream.ByteTokenizer(path, P.PATTERN, True), Tokenizer.from_file(path), random.Random(2)
+    bits = ["ab", " ", "  ", "\n", "'s", "1", "é", "中文", "<|endoftext|>", "<|", "|>", "!?", "\x1c", "\U0001f600"]
+    texts = ["see <|endoftext|> here", *("".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(1500))]
+    for text in texts:
+        assert list(np.frombuffer(mine.encode(text), "<u4")) == theirs.encode(text, add_special_tokens=False).ids
+    rows = list(enumerate(texts[:50]))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_token_stream(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, text in rows:
+        ids = [*theirs.encode(text, add_special_tokens=False).ids, 0]
+        assert (got[i]["start"], got[i]["n_tokens"]) == (start, len(ids))
+        assert got[i]["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
+        start += len(ids)
+
+
 # --- 9 ------------------------------------------------------------------------
 
 def test_substring_dedup(spark, texts, docs):
