@@ -258,6 +258,20 @@ def test_line_dedup(spark, monkeypatch, hot):
     assert sorted(line_dedup.drop_repeated_lines(extra).collect(), key=str) == sorted(extra.collect(), key=str)
 
 
+def test_repeated_lines_go_whatever_their_share(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    shared = "a passage that stands in many documents and is long"
+    rows = [(1, f"{shared}\nthe first document says this"), (2, f"{shared}\nshort end"), (3, shared), (4, f"tiny\n{shared}\n{shared}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = {1: rows[0][1], 2: "short end", 3: "", 4: "tiny"}
+    assert {r["doc_id"]: r["text"] for r in pipeline.lines(spark, table, "").collect()} == kept
+    got = {r["doc_id"]: r for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert {i: r["kept_sha256"] for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
+    assert {i: (r["n_repeats"], r["n_removed"]) for i, r in got.items()} == {1: (0, 0), 2: (1, 1), 3: (1, 1), 4: (2, 2)}
+
+
 def test_line_dedup_is_native(docs):
     plan = line_dedup.line_dedup(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
