@@ -461,3 +461,32 @@ def test_pipeline(spark):
     for _, stage in pipeline.STAGES:
         nothing = stage(spark, nothing, SF)
     assert nothing.count() == 0
+
+
+def test_near_copies_at_five_words_and_four_fifths(spark):
+    import corpus_pipeline as pipeline
+
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for changes in (1, 2, 3, 4, 5, 6, 7, 9):
+        near = list(base)
+        for at in rng.sample(range(0, 200, 12), changes):
+            near[at] = f"new{changes}x{at}"
+        texts.append(" ".join(near))
+    texts += [" ".join(base[lo:] + words(rng, lo)) for lo in (18, 21, 24, 30)]
+    for n in (30, 60):
+        other = [f"o{n}x{i}" for i in range(n)]
+        # appended words: a similarity in four-word sets just under 0.85, over 0.8 in five-word sets
+        texts += [" ".join(other), " ".join(other + [f"p{i}" for i in range(round(0.21 * n))])]
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2)
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in pipeline.near_copies(spark, table, "").collect()}
+    assert kept == set(roots(len(texts), near))
+    groups = ngram_join.ngram_join(table).where("doc_id = component_id").count()
+    assert groups > len(kept)  # the bound of op7 leaves more
