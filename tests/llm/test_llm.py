@@ -298,6 +298,15 @@ def test_ngram_join(spark, monkeypatch, texts, docs, block):
     assert sorted(map(tuple, ngram_join.ngram_join(odd).collect()), key=str) == [(7, 2, 7), (7, 2, 7), (None, 2, None)]
 
 
+@pytest.mark.parametrize("block", [512, 2])
+def test_ngram_join_negative_ids(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    base = [f"n{i}" for i in range(150)]
+    rows = [(i - 9, " ".join(base[:k] + ["changed"] + base[k + 1 :])) for i, k in enumerate(range(3, 150, 20))]
+    got = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: -9 for i, _ in rows}
+
+
 def test_linked_sets_share_a_key():
     rng = np.random.default_rng(2)
     for n in [*range(1, 60), 200, 700]:
