@@ -45,7 +45,7 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = line_dedup.line_dedup(table(spark, sf_dir, "documents"), keep_copies=False)
+    cut = line_dedup.line_dedup(table(spark, sf_dir, "documents"), keep_copies=False, max_edits=2)
     return cut.select(
         "doc_id", "n_lines", "n_repeats", "n_removed", "is_copy",
         F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"),

@@ -258,6 +258,29 @@ def test_line_dedup(spark, monkeypatch, hot):
     assert sorted(line_dedup.drop_repeated_lines(extra).collect(), key=str) == sorted(extra.collect(), key=str)
 
 
+@pytest.mark.parametrize("k,hot", [(2, 128), (2, 4), (3, 128)])
+def test_line_links_of_more_edits(spark, monkeypatch, k, hot):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rng = random.Random(k)
+    lines = [f"this is the template line of number {i * 37 % 1000:03}" for i in range(0, 60, 3)]
+    for _ in range(25):
+        line = "".join(rng.choice("abcdefgh ") for _ in range(rng.randint(17, 45)))
+        for _ in range(4):
+            near = list(line)
+            for _ in range(rng.randint(1, k + 1)):
+                at = rng.randrange(len(near))
+                near[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+            lines.append("".join(near))
+        lines.append(line)
+    lines = sorted({x for x in lines if len(x) >= 16})
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "id long, line string")
+    near = {(a, b) for a, b in itertools.combinations(range(len(lines)), 2)
+            if abs(len(lines[a]) - len(lines[b])) <= k and edits(lines[a], lines[b]) <= k}
+    links = {tuple(sorted(r)) for r in line_dedup.line_links(table, k).collect()}
+    assert links <= near and roots(len(lines), links) == roots(len(lines), near)
+    assert roots(len(lines), near) != roots(len(lines), [p for p in near if edits(lines[p[0]], lines[p[1]]) < k])
+
+
 def test_repeated_lines_go_whatever_their_share(spark, tmp_path):
     import corpus_pipeline as pipeline
 
