@@ -38,14 +38,19 @@ def wall_clock(moment: datetime | None, spark) -> datetime | None:
 
 def _literal(moment: datetime, dtype: T.DataType) -> Column:
     """A constant of the column's own type, so comparisons stay on the raw
-    column and reach the scan as pushed filters."""
-    text = moment.isoformat(sep=" ")
-    if isinstance(dtype, T.DateType):
-        # a moment with an offset has its date in the session's zone, as the rows have
-        return F.lit(text).cast("timestamp").cast("date") if moment.tzinfo else F.lit(moment.date().isoformat()).cast("date")
+    column and reach the scan as pushed filters.
+
+    A moment with an offset is one instant for all three types: zoned columns
+    compare with the instant, ``TIMESTAMP_NTZ`` and date columns with what the
+    session zone's clock and calendar show at that instant.  A moment without
+    one is taken as the session clock's reading.
+    """
+    text = F.lit(moment.isoformat(sep=" "))
     if isinstance(dtype, T.TimestampType):
-        return F.lit(text).cast("timestamp")
-    return F.lit(text).cast("timestamp_ntz")
+        return text.cast("timestamp")
+    if isinstance(dtype, T.DateType):
+        return text.cast("timestamp").cast("date") if moment.tzinfo else F.lit(moment.date().isoformat()).cast("date")
+    return text.cast("timestamp").cast("timestamp_ntz") if moment.tzinfo else text.cast("timestamp_ntz")
 
 
 def now(as_of: AsOf, dtype: T.DataType = T.TimestampNTZType()) -> Column:
