@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cover_tree, decontaminate, langid, line_dedup, ngram_join, quality, secrets, substring_dedup, token_stream
+from . import (
+    bpe, cover_tree, decontaminate, filter_audit, langid, line_dedup, merkle, ngram_join, quality, secrets, sharding,
+    substring_dedup, token_stream,
+)
 from .common import shared_path, table
 
 
@@ -75,6 +78,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.document_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, sf_dir, "documents"), merkle.lower_some())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_embedding_links": op2_embedding_links,
@@ -86,6 +101,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_stream": op8_token_stream,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_bpe": op10_bpe,
+    "op11_sharding": op11_sharding,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op12_filter_audit": filter_audit.AUDIT_SQL,
+}
