@@ -103,6 +103,11 @@ def bit_filter(keys: DataFrame, column: str, log2_bits: int) -> np.ndarray:
     return out
 
 
+def slot_bits(n: int, most: int = 27) -> int:
+    """log2 of the bits of a filter for n keys: 16 bits a key, up to a limit."""
+    return min(most, max(16, int(16 * n).bit_length()))
+
+
 def in_filter(bits: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Boolean mask: which of the (uint64) values may be members."""
     slot = values & np.uint64(len(bits) * 64 - 1)
