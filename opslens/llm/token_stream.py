@@ -38,8 +38,8 @@ from tokenizers import Tokenizer
 from .common import map_arrow
 
 SEGMENT = 1 << 21  # ids in a segment, about
-BLOCK = 1 << 17  # ids in a block
-LANES = 512
+BLOCK = 1 << 19  # ids in a block
+LANES = 2048
 SCALE = 18  # log2 of the sum of frequencies, at least
 CACHED = 400_000  # pieces and pre-tokens whose ids a worker keeps, about twice as many
 MAGIC, VERSION = b"RANS", 1
