@@ -5,7 +5,8 @@
     python -m opslens --fixtures /root/testdata/sf0.01 --out /tmp/reports --local
 
 Each report lands whole in ``<out>/<panel>/<report>`` (Parquet by default),
-its rows and effective window in ``_status``; nothing is collected on the driver.
+its rows and effective window in ``_status``, counted while it is written;
+nothing is collected on the driver.
 """
 from __future__ import annotations
 
@@ -97,11 +98,10 @@ def main(argv: list[str] | None = None) -> int:
     )
     out = a.out.rstrip("/")
     for panel, result in run_all(spark, src, params, a.shared_scans, display_caps=False).items():
-        for name, df in result.reports.items():
-            write_report(df, f"{out}/{panel}/{name}", fmt=a.format, mode=a.mode)
+        status = result.run(lambda name, df, p=panel: write_report(df, f"{out}/{p}/{name}", fmt=a.format, mode=a.mode))
         if result.kpis is not None:
             write_report(result.kpis, f"{out}/{panel}/_kpis", fmt=a.format, mode=a.mode)
-        write_report(result.status, f"{out}/{panel}/_status", fmt=a.format, mode=a.mode)
+        write_report(status, f"{out}/{panel}/_status", fmt=a.format, mode=a.mode)
     return 0
 
 

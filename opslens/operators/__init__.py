@@ -140,6 +140,35 @@ def latest_per_key(df: DataFrame, key: str, value: str, order: str | None = None
     return df.groupBy(key).agg(picked.alias(value))
 
 
+def latest_for(top: DataFrame, dim: DataFrame, key: str, value: str, order: str | None = None) -> DataFrame:
+    """``top`` (few rows: a cut) with the ``latest_per_key`` value of its keys.
+
+    ``dim`` is read once and reduced to the keys of ``top`` before anything is
+    grouped, so it is not shuffled where Spark broadcasts ``top``.  An inner
+    join may broadcast either side and evaluates ``top`` once, but drops rows
+    without a match; so every row of ``top`` also meets one added row, which
+    has no value."""
+    row = top.select(F.struct(*top.columns).alias("__top"), F.monotonically_increasing_id().alias("__n"))
+    keyed = row.select(
+        "__top", "__n",
+        F.explode(F.array(F.struct(F.lit(True).alias("dim"), F.col(f"__top.{key}").alias("key")),
+                          F.struct(F.lit(False).alias("dim"), F.lit(None).cast(top.schema[key].dataType).alias("key")))).alias("__k"),
+    )
+    ranked = F.struct(order, value) if order else F.col(value)
+    rows = dim.filter(F.col(key).isNotNull()).select(
+        F.struct(F.lit(True).alias("dim"), F.col(key).cast(top.schema[key].dataType).alias("key")).alias("__d"),
+        F.col(value).alias("__value"), ranked.alias("__rank"),
+    )
+    added = dim.sparkSession.range(1).select(
+        F.struct(F.lit(False).alias("dim"), F.lit(None).cast(top.schema[key].dataType).alias("key")).alias("__d"),
+        *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("__value", "__rank")],
+    )
+    met = rows.unionByName(added).join(
+        keyed, (F.col("__d.dim") == F.col("__k.dim")) & F.col("__d.key").eqNullSafe(F.col("__k.key"))
+    )
+    return met.groupBy("__n", "__top").agg(F.max_by("__value", "__rank").alias(value)).select("__top.*", value)
+
+
 # ---------------------------------------------------------------------------
 # Joins
 # ---------------------------------------------------------------------------
@@ -166,7 +195,8 @@ def valid_on_join(
     valid row (facts repeat when validity intervals overlap).
 
     Call it on *aggregated* facts (one row per date and key), so the join runs
-    on days x keys rows, not on raw events."""
+    on days x keys rows, not on raw events.  ``"latest"`` meets no fact with
+    every row of its key's history: see ``_latest_valid``."""
     if dedup not in ("latest", "all"):
         raise ValueError("dedup must be 'latest' or 'all'")
     renamed = dim.select(
@@ -175,20 +205,80 @@ def valid_on_join(
         F.col(end).alias("__dim_end"),
         *[(F.col(v) if isinstance(v, str) else v).alias(name) for name, v in values.items()],
     )
+    if dedup == "latest":
+        return _latest_valid(facts, renamed, on, at, list(values), fact_key)
     cond = [facts[k] == renamed[f"__dim_{k}"] for k in on]
     cond += [
         renamed["__dim_start"] <= facts[at],
         renamed["__dim_end"].isNull() | (renamed["__dim_end"] > facts[at]),
     ]
-    joined = facts.join(renamed, cond, "left")
-    if dedup == "latest":
-        w = Window.partitionBy(*fact_key).orderBy(
-            F.col("__dim_start").desc_nulls_last(),
-            F.col("__dim_end").desc_nulls_first(),
-            *[F.col(v).desc_nulls_last() for v in values],
-        )
-        joined = joined.withColumn("__rank", F.row_number().over(w)).filter(F.col("__rank") == 1)
-    return joined.select(*facts.columns, *values.keys())
+    return facts.join(renamed, cond, "left").select(*facts.columns, *values.keys())
+
+
+def _latest_valid(
+    facts: DataFrame, dim: DataFrame, on: Sequence[str], at: str, values: list[str], fact_key: Sequence[str]
+) -> DataFrame:
+    """As-of sweep: ``facts`` and the starts of ``dim`` rows, sorted by time
+    within a key, pass once; each fact carries the row that started last.
+
+    Where that row is still valid it is the one.  Where it has ended, an older
+    row can only be valid if it outlives a younger one (a base price around a
+    promotion): such facts, told by the greatest end so far, are joined to the
+    rows that outlive a younger one, and to no others.  A history without such
+    nesting, however long, is never joined."""
+    keys = [f"__dim_{k}" for k in on]
+    kind = dim.schema["__dim_start"].dataType
+    known = dim.dropna(subset=[*keys, "__dim_start"])  # the rest is never valid
+    row = F.struct("__dim_start", "__dim_end", *values)
+    starts = known.select(
+        *[F.col(k).alias(f"__on_{i}") for i, k in enumerate(keys)], F.col("__dim_start").alias("__t"),
+        F.lit(0).alias("__fact"), "__dim_end", row.alias("__row"), F.lit(None).cast(facts.schema).alias("__of"),
+    )
+    moments = facts.select(
+        *[F.col(k).cast(dim.schema[d].dataType).alias(f"__on_{i}") for i, (k, d) in enumerate(zip(on, keys))],
+        F.col(at).cast(kind).alias("__t"), F.lit(1).alias("__fact"),
+        F.lit(None).cast(dim.schema["__dim_end"].dataType).alias("__dim_end"),
+        F.lit(None).cast(known.select(row.alias("r")).schema["r"].dataType).alias("__row"),
+        F.struct(*facts.columns).alias("__of"),
+    )
+    by = [f"__on_{i}" for i in range(len(keys))]
+    # of rows with one start the last has the open or latest end, then the greatest values
+    order = [F.col("__t"), F.col("__fact"), F.col("__dim_end").asc_nulls_last(), *[F.col(f"__row.{v}").asc_nulls_first() for v in values]]
+    far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = (
+        starts.unionByName(moments)
+        .withColumn("__last", F.last("__row", ignorenulls=True).over(far))
+        .withColumn("__open", F.max(F.when(F.col("__fact") == 0, F.col("__dim_end").isNull())).over(far))
+        .withColumn("__until", F.max("__dim_end").over(far))
+        .filter(F.col("__fact") == 1)
+    )
+    valid = F.col("__last").isNotNull() & (F.col("__last.__dim_end").isNull() | (F.col("__last.__dim_end") > F.col("__t")))
+    swept = carried.select(
+        "__of", "__t", *by, F.when(valid, F.col("__last")).alias("__last"),
+        (F.col("__last").isNotNull() & ~valid & (F.col("__open") | (F.col("__until") > F.col("__t")))).alias("__older"),
+    )
+    younger = (
+        Window.partitionBy(*keys)
+        .orderBy(F.col("__dim_start").desc(), F.col("__dim_end").desc_nulls_first())
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    soonest = F.min("__dim_end").over(younger)
+    outliving = (
+        known.withColumn("__soonest", soonest)
+        .filter(F.col("__soonest").isNotNull() & (F.col("__dim_end").isNull() | (F.col("__dim_end") > F.col("__soonest"))))
+        .select(*keys, "__dim_start", F.col("__dim_end").alias("__end"), row.alias("__found"))
+    )
+    cond = [F.col(b) == F.col(k) for b, k in zip(by, keys)]
+    cond += [F.col("__older"), F.col("__dim_start") <= F.col("__t"), F.col("__end").isNull() | (F.col("__end") > F.col("__t"))]
+    best = F.struct(
+        F.col("__found.__dim_start"), F.col("__end").isNull(), F.col("__end"),
+        *[F.struct(F.col(f"__found.{v}").isNotNull(), F.col(f"__found.{v}")) for v in values],
+    )
+    joined = swept.join(outliving, cond, "left").groupBy(*by, "__of").agg(
+        F.any_value("__last").alias("__last"), F.max_by("__found", F.when(F.col("__found").isNotNull(), best)).alias("__found"),
+    )
+    picked = F.coalesce("__last", "__found")
+    return joined.select("__of.*", *[picked.getField(v).alias(v) for v in values])
 
 
 def without_match(
@@ -308,6 +398,7 @@ __all__ = [
     "fill_daily_gaps",
     "flag_rows",
     "last_seen_between",
+    "latest_for",
     "latest_per_key",
     "lookback",
     "name_pattern_scan",

@@ -16,11 +16,13 @@ def custom_report(
     args: Mapping[str, Any] | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Run ``sql`` with every bound source visible as a temp view named after
-    its logical source (``access_audit``, ``billing_usage`` ...).
+    """Run ``sql`` with every bound source visible under its logical name
+    (``access_audit``, ``billing_usage`` ...).
 
-    Parameters go through Spark's named parameter markers (``:name``), never
+    The names are temp views only while the text is analysed: the session's
+    own views stay as they were.  Parameters go through Spark's named parameter markers (``:name``), never
     through string splicing.  ``limit`` caps the rows, as a panel's row cap."""
-    src.register_views(spark, only_in=sql)
-    df = spark.sql(sql.strip(), args=dict(args) if args else None)
+    with src.views(spark, only_in=sql):
+        df = spark.sql(sql.strip(), args=dict(args) if args else None)
+        df.schema  # analysed here, with the sources in place
     return df.limit(limit) if limit is not None else df

@@ -41,7 +41,9 @@ def governance_pii_columns(
     ``address``, ``trace_id`` hits ``race``); ``whole_token=True`` needs the
     token between underscores or the name's ends."""
     c = scope(src[CATALOG_COLUMNS], catalogs)
-    hits = name_pattern_scan(c, "column_name", PII_TOKENS, whole_token=whole_token).select(
+    # a catalog repeats its column names: each distinct one is matched once
+    names = name_pattern_scan(c.select("column_name").distinct(), "column_name", PII_TOKENS, whole_token=whole_token)
+    hits = c.select(*NAMES, "column_name", "data_type").join(names, "column_name", "left_semi").select(
         *NAMES, "column_name", "data_type"
     )
     return top_n(hits, asc(*NAMES, "column_name", "data_type"), limit)

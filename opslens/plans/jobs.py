@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import micros_between, ratio_half_up
-from ..operators import asc, desc, latest_per_key, share_of_total, status_by_day, top_n
+from ..operators import asc, desc, latest_for, latest_per_key, share_of_total, status_by_day, top_n
 from ..params import AsOf
 from ..sources import JOB_RUNS, JOBS, Sources
 from .vocab import FAILED, SUCCEEDED
@@ -15,15 +15,18 @@ def _runs(src: Sources, days: int, as_of: AsOf) -> DataFrame:
     return src.recent(JOB_RUNS, "run_start_time", as_of, days=days)
 
 
-def _with_job_names(top: DataFrame, src: Sources) -> DataFrame:
-    """Left-join the latest job names to an already aggregated / cut frame.
+def _with_job_names(top: DataFrame, src: Sources, limit: int | None) -> DataFrame:
+    """The latest job names on an already aggregated / cut frame.
 
     A job defined more than once has the name with the latest
     ``change_time``, if the definitions carry that column, else the greatest
-    one, so rows never fan out.  Spark sizes the join at run time."""
+    one, so rows never fan out.  A cut frame reduces the definitions to its own
+    jobs before they are grouped; a whole one joins all of them."""
     defs = src[JOBS].withColumnRenamed("name", "job_name")
-    names = latest_per_key(defs, "job_id", "job_name", "change_time" if "change_time" in defs.columns else None)
-    return top.join(names, "job_id", "left")
+    order = "change_time" if "change_time" in defs.columns else None
+    if limit is not None:
+        return latest_for(top, defs, "job_id", "job_name", order)
+    return top.join(latest_per_key(defs, "job_id", "job_name", order), "job_id", "left")
 
 
 def jobs_success_rate(src: Sources, days: int = 30, *, as_of: AsOf = None) -> DataFrame:
@@ -44,7 +47,7 @@ def jobs_top_failures(src: Sources, days: int = 30, limit: int | None = 20, *, a
     )
     order = desc("failure_count") + asc("job_id")
     top = top_n(per_job, order, limit)
-    named = _with_job_names(top, src)
+    named = _with_job_names(top, src, limit)
     return named.select("job_id", "job_name", "failure_count", "last_failure").orderBy(*order)
 
 
@@ -63,7 +66,7 @@ def jobs_longest_runs(src: Sources, days: int = 30, limit: int | None = 20, *, a
     )
     order = desc("duration_min") + asc("run_id")
     top = top_n(timed, order, limit)
-    named = _with_job_names(top, src)
+    named = _with_job_names(top, src, limit)
     return named.select("job_id", "job_name", "run_id", "result_state", "duration_min", "run_start_time").orderBy(
         *order
     )

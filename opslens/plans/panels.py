@@ -7,7 +7,8 @@ is ``unavailable``, one whose parameters do not fit (the inactive-users window
 once ``days >= inactive_days``) ``invalid``, one that fails otherwise (bad
 custom SQL, a frame of another schema) ``error`` with the message; all others
 are built.  Status also gives each report's effective window, its rows before
-the display cap, and whether that cap cut it.
+the display cap, and whether that cap cut it; a batch that writes whole reports
+takes the rows from the very write (``PanelResult.run``).
 """
 from __future__ import annotations
 
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parse_as_of
@@ -136,10 +137,31 @@ def _panel_kpis(panel: str, src: Sources, p: Params) -> DataFrame | None:
 
 @dataclass
 class PanelResult:
+    """``status`` counts the rows of each report by running it; ``run`` counts
+    them on the way while the reports are written, shown or counted anyway."""
+
     panel: str
     reports: dict[str, DataFrame]
     kpis: DataFrame | None
     status: DataFrame
+    notes: "_Status"
+
+    def run(self, act: Callable[[str, DataFrame], object]) -> DataFrame:
+        """Call ``act(name, frame)``, one action, on every report, whole: no
+        display cap.  Returns the status frame (windows, caps and totals as in
+        ``status``), made of what the actions saw, so no report runs twice.  A
+        report that fails gets an ``error`` row and the others go on."""
+        rows = list(self.notes.rows)
+        for name, (df, cap, message) in self.notes.whole.items():
+            seen = Observation()
+            window = self.notes.windows.get(name, self.notes.p.days)
+            try:
+                act(name, df.observe(seen, F.count(F.lit(1)).alias("total_rows")))
+                total = seen.get.get("total_rows", 0)
+                rows.append((self.panel, name, "ok", message, window, cap, total, cap is not None and total > cap))
+            except Exception as e:  # of this report alone
+                rows.append((self.panel, name, "error", f"{type(e).__name__}: {str(e)[:500]}", window, None, None, None))
+        return self.notes.spark.createDataFrame(rows, STATUS_SCHEMA)
 
 
 def _shared(panel: str, src: Sources, p: Params, defs: dict) -> tuple[Sources, dict]:
@@ -174,6 +196,7 @@ class _Status:
 
     def __init__(self, spark: SparkSession, panel: str, p: Params):
         self.spark, self.panel, self.p, self.rows, self.counts = spark, panel, p, [], []
+        self.whole: dict[str, tuple[DataFrame, int | None, str | None]] = {}
         self.windows = _windows(p)
 
     def build(self, report: str, make: Callable[[], DataFrame], cap: int | None, message: str | None = None):
@@ -189,6 +212,7 @@ class _Status:
             return self._note(report, "error", f"{type(e).__name__}: {str(e)[:500]}")
         if report in FLAGGED:
             df = flag_rows(df, FLAGGED[report])
+        self.whole[report] = (df, cap, message)
         total = F.count(F.lit(1))
         window = self.windows.get(report, self.p.days)
         self.counts.append(df.agg(total.alias("total_rows")).select(
@@ -244,7 +268,7 @@ def run_panel(
         kpi_rows = _panel_kpis(panel, src, p)
     except Exception as e:
         kpi_rows = status._note("_kpis", "error", f"{type(e).__name__}: {str(e)[:500]}")
-    return PanelResult(panel, reports, kpi_rows, status.frame())
+    return PanelResult(panel, reports, kpi_rows, status.frame(), status)
 
 
 def run_custom_panel(
@@ -255,7 +279,7 @@ def run_custom_panel(
     status = _Status(spark, title, params)
     cap = params.row_limit if display_caps else None
     df = status.build(title, lambda: custom.custom_report(spark, src, cfg.sql), cap, cfg.description or None)
-    return PanelResult(title, {} if df is None else {title: df}, None, status.frame())
+    return PanelResult(title, {} if df is None else {title: df}, None, status.frame(), status)
 
 
 def run_all(

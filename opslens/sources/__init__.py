@@ -9,6 +9,7 @@ bind time and not in the middle of a plan.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -267,6 +268,28 @@ class Sources:
             names.append(view)
         return names
 
+    @contextmanager
+    def views(self, spark, only_in: str):
+        """``register_views`` for the length of a block; the session's own temp
+        views of the same names come back after it, others leave no trace."""
+        wanted = [n for n in self._bindings if re.search(rf"\b{re.escape(n)}\b", only_in, re.IGNORECASE)]
+        own = {
+            n: spark.table(n) for n in wanted
+            if any(t.isTemporary and t.name.lower() == n.lower() for t in spark.catalog.listTables(pattern=n))
+        }
+        made: list[str] = []
+        try:
+            for name in wanted:
+                made.append(name)
+                self[name].createOrReplaceTempView(name)
+            yield
+        finally:
+            for name in made:
+                if name in own:
+                    own[name].createOrReplaceTempView(name)
+                else:
+                    spark.catalog.dropTempView(name)
+
 
 __all__ = [
     "ACCESS_AUDIT",

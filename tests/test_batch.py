@@ -143,3 +143,31 @@ def test_command_line(spark, tmp_path):
     assert spark.read.parquet(f"{out}/bad/_status").first()["status"] == "error"
     st = {r["report"]: r["status"] for r in spark.read.parquet(f"{out}/jobs/_status").collect()}
     assert st["jobs_success_rate"] == "ok" and st["jobs_top_failures"] == "error"
+
+
+def test_reports_run_once(spark, src_small):
+    """Status comes from the actions themselves: one execution a report."""
+    result = run_panel(spark, "jobs", src_small, display_caps=False)
+    want = sorted(map(tuple, result.status.collect()), key=str)
+    store = spark._jsparkSession.sharedState().statusStore()
+    bus = spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty()
+    before, seen = store.executionsCount(), []
+    status = result.run(lambda name, df: (seen.append(name), df.write.format("noop").mode("overwrite").save()))
+    bus.waitUntilEmpty()
+    assert store.executionsCount() - before == len(seen) == len(result.reports) == 4
+    assert sorted(map(tuple, status.collect()), key=str) == want
+
+
+def test_a_failing_action_leaves_the_others(spark, src_small):
+    result = run_panel(spark, "jobs", src_small)
+
+    def act(name, df):
+        if name == "jobs_top_failures":
+            raise RuntimeError("the disk is full")
+        df.write.format("noop").mode("overwrite").save()
+
+    rows = {r["report"]: r for r in result.run(act).collect()}
+    assert rows["jobs_top_failures"]["status"] == "error" and "disk" in rows["jobs_top_failures"]["message"]
+    assert {r["status"] for n, r in rows.items() if n != "jobs_top_failures"} == {"ok"}
+    assert rows["jobs_success_rate"]["total_rows"] == result.reports["jobs_success_rate"].count()
