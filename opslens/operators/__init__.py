@@ -68,8 +68,10 @@ def name_pattern_scan(
 
     ``whole_token`` requires the token to be delimited by ``_`` or the ends
     of the name (``trace_id`` then no longer matches ``race``)."""
-    alternation = "|".join(re.escape(t) for t in tokens)
-    pattern = f"(^|_)({alternation})(_|$)" if whole_token else f"({alternation})"
+    # a look at one character rules out most places before the tokens are tried
+    firsts = "".join(sorted({re.escape(t[0]) for t in tokens}))
+    alternation = f"(?=[{firsts}])(?:{'|'.join(re.escape(t) for t in tokens)})"
+    pattern = f"(?:^|_){alternation}(?:_|$)" if whole_token else alternation
     return df.filter(F.lower(F.col(col)).rlike(pattern))
 
 
@@ -159,7 +161,7 @@ def latest_for(top: DataFrame, dim: DataFrame, key: str, value: str, order: str
         F.struct(F.lit(True).alias("dim"), F.col(key).cast(top.schema[key].dataType).alias("key")).alias("__d"),
         F.col(value).alias("__value"), ranked.alias("__rank"),
     )
-    added = dim.sparkSession.range(1).select(
+    added = dim.sparkSession.range(0, 1, 1, 1).select(
         F.struct(F.lit(False).alias("dim"), F.lit(None).cast(top.schema[key].dataType).alias("key")).alias("__d"),
         *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("__value", "__rank")],
     )

@@ -43,10 +43,13 @@ def cost_daily_by_sku(
         fact_key=["usage_date", "sku_name"],
         dedup=price_dedup,
     )
-    out = priced.groupBy("usage_date", "sku_name").agg(
-        F.round(F.sum("__qty"), 3).alias("dbu"),
-        F.round(F.sum(F.col("__qty") * F.col("__price")), 2).alias("est_usd"),
-    )
+    cost = F.col("__qty") * F.col("__price")
+    if price_dedup == "latest":  # one row a date and SKU already
+        out = priced.select("usage_date", "sku_name", F.round("__qty", 3).alias("dbu"), F.round(cost, 2).alias("est_usd"))
+    else:
+        out = priced.groupBy("usage_date", "sku_name").agg(
+            F.round(F.sum("__qty"), 3).alias("dbu"), F.round(F.sum(cost), 2).alias("est_usd")
+        )
     return out.orderBy(*desc("usage_date", "dbu"), *asc("sku_name"))
 
 

@@ -48,7 +48,7 @@ def jobs_top_failures(src: Sources, days: int = 30, limit: int | None = 20, *, a
     order = desc("failure_count") + asc("job_id")
     top = top_n(per_job, order, limit)
     named = _with_job_names(top, src, limit)
-    return named.select("job_id", "job_name", "failure_count", "last_failure").orderBy(*order)
+    return top_n(named.select("job_id", "job_name", "failure_count", "last_failure"), order, limit)
 
 
 def jobs_longest_runs(src: Sources, days: int = 30, limit: int | None = 20, *, as_of: AsOf = None) -> DataFrame:
@@ -67,8 +67,8 @@ def jobs_longest_runs(src: Sources, days: int = 30, limit: int | None = 20, *, a
     order = desc("duration_min") + asc("run_id")
     top = top_n(timed, order, limit)
     named = _with_job_names(top, src, limit)
-    return named.select("job_id", "job_name", "run_id", "result_state", "duration_min", "run_start_time").orderBy(
-        *order
+    return top_n(
+        named.select("job_id", "job_name", "run_id", "result_state", "duration_min", "run_start_time"), order, limit
     )
 
 
