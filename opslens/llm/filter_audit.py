@@ -143,6 +143,8 @@ def document_masks(docs: DataFrame) -> DataFrame:
     )
     # texts of one document need no partner
     leads = judged.groupBy(F.col("mark").alias("of")).agg(F.min("doc_id").alias("lead"), F.count("*").alias("m")).where("m > 1")
+    # written, so that the join's sides are plain shuffles, of which Spark can split a hot text's
+    leads = written(leads, "filter-leads")
     copy = F.coalesce(F.col("doc_id") > F.col("lead"), F.lit(False))
     return judged.join(leads, F.col("mark") == F.col("of"), "left").select(
         "doc_id", "part", (F.col("own") + F.when(copy, 1 << 4).otherwise(0)).alias("mask")
