@@ -50,6 +50,7 @@ PLACEHOLDERS = {"changeme", "example", "placeholder", "redacted", "none", "null"
 _SIGN = re.compile(r":=|=>|=(?![=~>])|:(?![:/=])")
 _LEFT = re.compile(r"([\"']?)([A-Za-z_][A-Za-z0-9_.\-]*)\1[\]]?[ \t]*$")
 _LEFT_REACH = 160  # characters before the sign that can hold the target name
+MAX_PARTS = 256  # literals that a name passes on
 _SPACE = re.compile(r"[ \t]*")
 _STRING = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 _REFERENCE = re.compile(r"\$\{?([A-Za-z_][A-Za-z0-9_]*)\}?|([A-Za-z_][A-Za-z0-9_.]*)(?![A-Za-z0-9+/_.=\-])")
@@ -81,8 +82,10 @@ def literal_score(value: str) -> float:
     return score if classes > 1 else score * 0.5
 
 
-def _value(text: str, at: int, constants: dict[str, list[Span]]) -> list[Span]:
-    """Spans of the literals that make up the value at a position."""
+def _value(text: str, at: int, constants: dict[str, list[Span]], bare: list[int]) -> list[Span]:
+    """Spans of the literals that make up the value at a position. ``bare``
+    holds the last run of bare characters, so that signs inside one do not read
+    it again."""
     spans: list[Span] = []
     at = _SPACE.match(text, at).end()
     while True:
@@ -90,25 +93,31 @@ def _value(text: str, at: int, constants: dict[str, list[Span]]) -> list[Span]:
             spans.append(m.span(m.lastindex))
         elif (m := _REFERENCE.match(text, at)) and (m[1] or m[2]) in constants:
             spans += constants[m[1] or m[2]]
-        elif m := _BARE.match(text, at):
-            spans.append(m.span())
+        elif bare[0] <= at < bare[1] or (m := _BARE.match(text, at)):
+            if not bare[0] <= at < bare[1]:
+                bare[:] = m.span()
+            spans.append((at, bare[1]))
+            m = None
         else:
             return spans
-        if not (j := _JOIN.match(text, m.end())):
+        if not (j := _JOIN.match(text, m.end() if m else bare[1])):
             return spans
         at = j.end()
 
 
 def assignments(text: str) -> Iterator[tuple[str, list[Span]]]:
-    """(target name, spans of its literals) in order, constants propagated."""
+    """(target name, spans of its literals) in order, constants propagated:
+    each literal of a name once, MAX_PARTS at most."""
     constants: dict[str, list[Span]] = {}
+    bare = [0, 0]
     for sign in _SIGN.finditer(text):
         left = _LEFT.search(text[max(0, sign.start() - _LEFT_REACH) : sign.start()])
         if left is None:
             continue
-        spans = _value(text, sign.end(), constants)
+        spans = _value(text, sign.end(), constants, bare)
         if spans:
-            constants[left[2]] = spans
+            # a name stands for each of its literals once, however it was put together
+            constants[left[2]] = list(dict.fromkeys(spans))[:MAX_PARTS]
             yield left[2], spans
 
 

@@ -94,6 +94,20 @@ def test_secrets(spark):
     assert secrets.secret_scan(empty(spark)).count() == 0
 
 
+def test_secrets_of_chained_and_packed_assignments():
+    import time
+
+    began = time.perf_counter()
+    text = 'token = "k9Zq8X2mZ"\n' + "token = token + token\n" * 2000
+    assert secrets.literal_spans(text) == [(9, 3, 18)]
+    chain = 'x0 = "k9Zq8X2mZ"\n' + "".join(f'x{i} = x{i - 1} + "p{i}"\n' for i in range(1, 5000))
+    assert max(len(spans) for _, spans in secrets.assignments(chain)) == secrets.MAX_PARTS + 1
+    packed = "a=1&" * 100_000
+    got = list(secrets.assignments(packed))
+    assert len(got) == 100_000 and got[3] == ("a", [(14, len(packed))])
+    assert time.perf_counter() - began < 60
+
+
 # --- 2 ------------------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [16, 2048])
