@@ -335,6 +335,47 @@ def test_ngram_join(spark, monkeypatch, texts, docs, block, hot, levels):
     assert sorted(map(tuple, ngram_join.ngram_join(odd).collect()), key=str) == [(7, 2, 7), (7, 2, 7), (None, 2, None)]
 
 
+def test_parities_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    sets = []
+    for n in (1, 5, 30, 400, 500, 3000):
+        base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        sets += [np.unique(x) for x in (base, base[: n - n // 9], np.r_[base[n // 5 :], rng.integers(0, 1 << 63, n // 6, dtype=np.uint64)])]
+    pairs = list(itertools.combinations(sets, 2))
+    least = ngram_join.odd_buckets(*([ngram_join.parities(x) for x in side] for side in zip(*pairs)))
+    true = np.array([len(np.setxor1d(a, b)) for a, b in pairs])
+    assert (least <= true).all()
+    # unlike 64 counts, they tell large sets apart
+    big = np.array([len(a) > 2000 and len(b) > 2000 for a, b in pairs])
+    assert big.sum() == 3 and (least[big] >= 0.85 * true[big]).all()
+
+
+def test_pairs_of_near_copies_are_listed_once(spark):
+    """Not once for each key that they share: the pairs that go to the
+    comparison are few more than the sets of a group."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 60):
+        words = list(base)
+        words[rng.randrange(150)] = f"other{i}"
+        rows.append((i, " ".join(words)))
+    text = spark.createDataFrame(rows, "doc_id long, text string").selectExpr(
+        "doc_id", "cast(text as binary) as text", "xxhash64(text) as digest")
+    met = ngram_join._with_shared_keys(
+        ngram_join.map_arrow(text, lambda it: ngram_join._emit(it, 4, 85, 100), ngram_join._EMITTED), "test-keys")
+    rows = met.where("kind = 1").selectExpr("a as doc_id", "b as mark", "info.*")
+    entries = met.where("kind = 0").selectExpr("a as key", "b as mark")
+    join = ngram_join._Join(text, rows, entries, 4, 85, 100)
+    stars = join.stars(entries).distinct().count()
+    assert 59 <= stars < 3 * 59
+    heads = entries.join(entries.groupBy("key").agg(F.min("mark").alias("first")), "key").selectExpr(
+        "key", "mark", "mark as class", "mark = first as head")
+    listed = join.near(heads)
+    assert listed.count() == listed.distinct().count() > 59
+    assert join.links(listed).count() >= 59
+
+
 @pytest.mark.parametrize("block", [512, 2])
 def test_ngram_join_negative_ids(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
