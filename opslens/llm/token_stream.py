@@ -5,7 +5,7 @@ end id each.  Runs of documents form segments of about SEGMENT ids; a segment
 is coded with one static table of frequencies counted over all its ids.  Its
 ids are cut into blocks, each a range asymmetric numeral system (rANS) of LANES
 interleaved states.  A block starts from stored states (its checkpoint) and has
-checksums of its words and of its ids, so all blocks decode independently.
+checksums of its states and words and of its ids, so all blocks decode independently.
 
 Segment layout (little-endian)::
 
@@ -13,7 +13,7 @@ Segment layout (little-endian)::
     documents: i64 doc_id | u8 doc_id is null | u64 ids with the end id
     symbols:   u32 id | u32 frequency
     blocks:    u64 offset from the start of the segment
-    each block: u32 ids | u32 lanes | u32 words | u32 crc32 of ids | u32 crc32 of words
+    each block: u32 ids | u32 lanes | u32 words | u32 crc32 of ids | u32 crc32 of states and words
                 u64 states (one a lane) | u32 words
 
 Segments are rows of Parquet files that Spark writes, so that any store that
@@ -29,6 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,8 +42,9 @@ SEGMENT = 1 << 21  # ids in a segment, about
 BLOCK = 1 << 19  # ids in a block
 LANES = 2048
 SCALE = 18  # log2 of the sum of frequencies, at least
-CACHED = 400_000  # pieces and pre-tokens whose ids a worker keeps, about twice as many
-MAGIC, VERSION = b"RANS", 1
+CACHED = 700_000  # pieces and pre-tokens whose ids a worker keeps, about twice as many
+TOGETHER = 5000  # texts whose distinct pieces are looked up together
+MAGIC, VERSION = b"RANS", 2
 
 _U = np.uint64
 _LOW = _U(1 << 31)  # states stay in [2**31, 2**63)
@@ -122,10 +124,10 @@ def encode_segment(doc_ids: list[int | None], texts: list[bytes]) -> bytes:
     for lo in range(0, len(ids), BLOCK):
         some = at[lo : lo + BLOCK]
         state, words = encode_block(some, freq, start, scale)
-        words = words.astype("<u4").tobytes()
+        state, words = state.astype("<u8").tobytes(), words.astype("<u4").tobytes()
         blocks.append(
-            _BLOCK.pack(len(some), LANES, len(words) // 4, zlib.crc32(data[lo * 4 : (lo + len(some)) * 4]), zlib.crc32(words))
-            + state.astype("<u8").tobytes() + words
+            _BLOCK.pack(len(some), LANES, len(words) // 4, zlib.crc32(data[lo * 4 : (lo + len(some)) * 4]), zlib.crc32(state + words))
+            + state + words
         )
     offset = _HEADER.size + sum(map(len, head)) + 8 * len(blocks)
     offsets = offset + np.cumsum([0, *map(len, blocks)])[:-1]
@@ -165,8 +167,8 @@ class Segment:
         at += _BLOCK.size
         state = np.frombuffer(self.data, "<u8", lanes, at)
         words = np.frombuffer(self.data, "<u4", n_words, at + state.nbytes)
-        if zlib.crc32(words) != words_crc:
-            raise ValueError(f"block {k}: its words are damaged")
+        if zlib.crc32(words, zlib.crc32(state)) != words_crc:
+            raise ValueError(f"block {k}: its states or words are damaged")
         ids = self.symbols[decode_block(n, state, words, self.slots, self.freq, self.start, self.scale)]
         if zlib.crc32(ids.tobytes()) != ids_crc:
             raise ValueError(f"block {k}: its ids are not those that were written")
@@ -217,7 +219,8 @@ class ByteTokenizer:
     Byte-level BPE never merges across the pattern's pre-tokens, and these never
     reach across a space that follows another character than white space.  So
     texts are cut at such spaces, and the library's model is asked once for
-    each distinct pre-token while it is remembered.
+    each distinct pre-token while it is remembered.  Of many texts together,
+    each distinct piece is looked up once.
 
     With ``added_tokens`` the ids are those of the library's own encoding: an
     added token of the file that stands in a text is one id, and the text
@@ -241,13 +244,15 @@ class ByteTokenizer:
         model, split = self.tokenizer.model, regex.compile(pattern)
 
         def of_token(token: str) -> bytes:
-            word = token.encode().decode("latin-1").translate(self.letters)
+            word = token.translate(self.letters) if token.isascii() else token.encode().decode("latin-1").translate(self.letters)
             return array("I", [t.id for t in model.tokenize(word)]).tobytes()
 
         def of_piece(piece: str, lead: str = " ") -> bytes:
             core = piece.rstrip(",.;:!?")
-            if core and core.isascii() and core.isalpha():
-                out = self.tokens[lead + core]
+            if core.isalpha() and max(core) < "ɐ":
+                if lead and len(core) == len(piece):
+                    return of_token(lead + core)
+                out = self.pieces[core] if lead else self.tokens[core]
                 return out + self.tokens[piece[len(core) :]] if len(core) < len(piece) else out
             if not piece or max(piece) < "ɐ":
                 return b"".join(map(self.tokens.__getitem__, split.findall(lead + piece)))
@@ -267,6 +272,39 @@ class ByteTokenizer:
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(self.added[t] if t in self.added else self._between(t) for t in self.special.split(text))
 
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of every text in turn (none for null) as 32-bit little-endian bytes."""
+        for lo in range(0, len(texts), TOGETHER):
+            some = texts.slice(lo, TOGETHER)
+            out, plain = [b""] * len(some), []
+            for i, text in enumerate(some.to_pylist()):
+                if text and ((self.special is not None and self.special.search(text)) or self._UNSAFE.search(text)):
+                    out[i] = self.encode(text)
+                elif text:
+                    plain.append(i)
+            for i, ids in zip(plain, self._together(some.take(pa.array(plain, pa.int64())))):
+                out[i] = ids
+            yield from out
+
+    def _together(self, texts: pa.Array) -> Iterator[bytes]:
+        """Ids of texts without added tokens that may be cut at every space."""
+        self.tokens.age()
+        self.pieces.age()
+        cut = pc.split_pattern(texts, " ")
+        at = cut.offsets.to_numpy()
+        pieces, first = cut.values, at[:-1]
+        heads = pieces.take(pa.array(first)).to_pylist()
+        later = np.ones(len(pieces), bool)
+        later[first] = False
+        later = pieces.filter(pa.array(later)).dictionary_encode()
+        known = [self.pieces[x] for x in later.dictionary.to_pylist()]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        lists = pa.LargeListArray.from_arrays(np.r_[0, np.cumsum(size)], np.frombuffer(b"".join(known), "<u4"))
+        ids = lists.take(later.indices).flatten().to_numpy()
+        end = np.r_[0, np.cumsum(size[later.indices.to_numpy()])][at - np.arange(len(at))]
+        for head, lo, hi in zip(heads, end, end[1:]):
+            yield (self.first(head) if head else b"") + ids[lo:hi].tobytes()
+
     def _between(self, text: str) -> bytes:
         """Ids of a text without added tokens."""
         cut = self._CUT.split(text) if self._UNSAFE.search(text) else text.split(" ")
@@ -298,10 +336,10 @@ def _segments(
         )
 
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
-        for i, doc_id in enumerate(ids):
+        ids = batch.column("doc_id").to_pylist()
+        for doc_id, found in zip(ids, coder.encode_all(batch.column("text"))):
             docs.append(doc_id)
-            held.append(coder.encode(texts[i].as_py() or "") + end)
+            held.append(found + end)
             size += len(held[-1])
             if size >= 4 * SEGMENT:
                 yield flush()

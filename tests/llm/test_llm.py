@@ -498,6 +498,32 @@ def test_pretoken_cache_equals_the_library():
         assert list(np.frombuffer(mine.encode(text), "<u4")) == theirs.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_encoded_together_as_alone():
+    """Each distinct piece of the texts is looked up once, with equal ids."""
+    import pyarrow as pa
+
+    coder = token_stream.ByteTokenizer(P.path("byte_bpe_50k.json"), P.PATTERN, True)
+    texts = ["one two, two two. it's", None, "", " lead and tail ", "two  spaces\n here", "Straße größe, größe", "x", " ",
+             "<|endoftext|> one", "日本 語 two", "two\u2003 two", "ª º, ɐb 12 34"] + ["again and again"] * 40
+    got = list(coder.encode_all(pa.array(texts, pa.string())))
+    want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    assert got == [coder.encode(t or "") for t in texts]
+    looked = []
+
+    class Counted(dict):
+        def __missing__(self, piece):
+            looked.append(piece)
+            return b"\1\0\0\0"
+
+        def age(self):
+            pass
+
+    coder.pieces = Counted()
+    list(coder.encode_all(pa.array(["again and again and"] * 40)))
+    assert sorted(looked) == ["again", "and"]
+
+
 def test_added_tokens_as_the_library(spark, tmp_path):
     from tokenizers import Tokenizer
 
