@@ -61,8 +61,9 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
 
 def _entries(spark: SparkSession, root: str, run: str | None) -> list:
     every = manifests(spark, root)
-    run = run or every.agg(F.max("run")).first()[0]
-    return every.where(F.col("run") == run).collect()
+    # a row a report: these few come to the driver
+    run = run or every.agg(F.max("run").alias("run")).toArrow().to_pylist()[0]["run"]
+    return every.where(F.col("run") == run).toArrow().to_pylist()
 
 
 def read_published(spark: SparkSession, root: str, name: str, run: str | None = None) -> DataFrame:
@@ -79,7 +80,9 @@ def changed_since(spark: SparkSession, root: str, run: str | None = None) -> lis
     out = []
     for r in _entries(spark, root, run):
         df = read_published(spark, root, r["name"], r["run"])
-        now = df.agg(F.count(F.lit(1)), _checksum(df.schema)).first()
-        if tuple(now) != (r["rows"], r["checksum"]):
+        seen = Observation()
+        now = df.observe(seen, F.count(F.lit(1)).alias("rows"), _checksum(df.schema).alias("checksum"))
+        now.write.format("noop").mode("overwrite").save()
+        if (seen.get["rows"], seen.get["checksum"]) != (r["rows"], r["checksum"]):
             out.append(r["name"])
     return out
