@@ -295,6 +295,46 @@ def test_line_links_of_more_edits(spark, monkeypatch, k, hot):
     assert roots(len(lines), near) != roots(len(lines), [p for p in near if edits(lines[p[0]], lines[p[1]]) < k])
 
 
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_filters_of_lines_lose_no_pair(spark, k):
+    rng = random.Random(20 + k)
+    pairs = [("", "", 0), ("a", "", 1)]
+    for _ in range(800):
+        a = [rng.choice("abé\U0001f600") for _ in range(rng.randint(0, 34))]
+        b = list(a)
+        for _ in range(rng.randint(0, k + 2)):
+            q = rng.randrange(len(b) + 1)
+            b[q : q + rng.randint(0, 1)] = rng.choice(["", "a", "é"])
+        a, b = sorted(("".join(a), "".join(b)), key=len, reverse=True)
+        if len(a) - len(b) <= k:
+            pairs.append((a, b, edits(a, b)))
+    df = spark.createDataFrame(pairs, "a string, b string, d int").withColumn("near", line_dedup._within("a", "b", k))
+    df = df.withColumn("x", line_dedup._odd("a")).withColumn("y", line_dedup._odd("b"))
+    assert df.where(f"near != (d <= {k})").isEmpty()
+    assert df.where(f"d <= {k}").where(~line_dedup._roomy("x", "y", k)).isEmpty()
+
+
+def test_few_pairs_of_lines_are_looked_at(spark, monkeypatch):
+    """Not the square of a group of lines that agree on a segment."""
+    rng = random.Random(4)
+    lines = ["a template that all of these lines begin with " + "".join(rng.choice("abcdefghijkl") for _ in range(90)) for _ in range(120)]
+    table = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    looked, real = [], line_dedup._linked
+    monkeypatch.setattr(line_dedup, "_linked", lambda pairs, *rest: (looked.append(pairs.count()), real(pairs, *rest))[1])
+    assert line_dedup.line_links(table, 2).isEmpty()
+    assert sum(looked) <= 120
+
+
+def test_distance_comes_after_the_filters(spark):
+    """In one condition: Spark does not keep the order of several."""
+    table = spark.createDataFrame([(1, "a line of some length"), (2, "a line of same length")], "id long, line string")
+    found = line_dedup._linked(spark.createDataFrame([(1, 2)], "a long, b long"), table, 2)
+    assert found.count() == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    with_distance = [row for row in plan.splitlines() if "Filter" in row and "split(" in row]
+    assert len(with_distance) == 1 and with_distance[0].index("CASE WHEN") < with_distance[0].index("bin(") < with_distance[0].index("split(")
+
+
 def test_repeated_lines_go_whatever_their_share(spark, tmp_path):
     import corpus_pipeline as pipeline
 
