@@ -417,6 +417,51 @@ def test_pairs_of_near_copies_are_listed_once(spark):
     assert found >= 59 and n < 1.2 * found < every / 2, (found, n, every)
 
 
+def test_tasks_give_back_few_rows_at_a_time():
+    """Millions of keys or pairs are never held at once."""
+    import pyarrow as pa
+
+    most = 2 * ngram_join.BATCH_ROWS
+    rng = np.random.default_rng(6)
+    docs = [b" ".join(b"w%d" % x for x in rng.integers(0, 1 << 40, 300)) for _ in range(2500)]
+    n = len(docs)
+    texts = pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(docs), pa.array(range(n), pa.int64())], names=["doc_id", "text", "digest"])
+    found = [b for b in ngram_join._emit(iter([texts]), 4, 85, 100)]
+    keys = sum(b.num_rows for b in found) - n
+    assert keys > 2 * most and max(b.num_rows for b in found) <= most
+    sets = [ngram_join.shingles(x) for x in docs[:50]]
+    dealt = pa.RecordBatch.from_arrays(
+        [pa.array([5] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([sets[i % 50].tobytes() for i in range(n)])], names=["key", "mark", "items"])
+    found = [b.num_rows for b in ngram_join._deal(iter([dealt]), 85, 100, 1)]
+    assert sum(found) > 2 * most and max(found) <= most
+    odd = ngram_join.parities(sets[0])
+    n = 250 + 1500
+    pairs = pa.RecordBatch.from_arrays(
+        [pa.array([1] * n, pa.int64()), pa.array([0] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([len(sets[0])] * n, pa.int64()),
+         pa.array([odd] * n), pa.array([None] * 250 + [list(range(250))] * 1500, pa.list_(pa.int64()))],
+        names=["lead", "part", "mark", "n", "odd", "of"])
+    found = [b.num_rows for b in ngram_join._likely(iter([pairs]), 85, 100)]
+    assert sum(found) == 250 * 1500 and max(found) <= most
+
+
+def test_blocks_of_columns_are_bounded_by_ngrams(monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    base = np.sort(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    sets = [base] + [np.sort(np.r_[base[i:], rng.integers(0, 1 << 63, i, dtype=np.uint64)]) for i in range(40)]
+    n = len(sets)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([1] * n, pa.int64()), pa.array([0] * n, pa.int64()), pa.array(range(n), pa.int64()),
+         pa.array([s.tobytes() for s in sets]), pa.array([True] + [False] * (n - 1))], names=["lead", "part", "mark", "items", "is_row"])
+    sizes, real = [], ngram_join.overlaps
+    monkeypatch.setattr(ngram_join, "BLOCK_ITEMS", 2000)
+    monkeypatch.setattr(ngram_join, "overlaps", lambda rows, some: (sizes.append(sum(map(len, some))), real(rows, some))[1])
+    found = [tuple(x) for b in ngram_join._block_products(iter([batch.slice(0, 7), batch.slice(7)]), 85, 100) for x in zip(*(c.to_pylist() for c in b.columns))]
+    want = [(0, i) for i in range(1, n) if 100 * len(np.intersect1d(base, sets[i])) >= 85 * len(np.union1d(base, sets[i]))]
+    assert sorted(found) == want and 0 < len(want) < n - 1 and max(sizes) <= 2400
+
+
 @pytest.mark.parametrize("block", [512, 2])
 def test_ngram_join_negative_ids(spark, monkeypatch, block):
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
