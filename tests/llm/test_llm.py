@@ -325,6 +325,20 @@ def test_few_pairs_of_lines_are_looked_at(spark, monkeypatch):
     assert sum(looked) <= 120
 
 
+def test_slots_of_lines_pass_the_driver_as_bits(spark, monkeypatch):
+    rng = random.Random(12)
+    lines = [" ".join(words(rng, 8)) for _ in range(400)]
+    lines += [x[:-1] + "#" for x in lines]
+    table = spark.createDataFrame(enumerate(lines), "n long, line string").select(F.xxhash64("line").alias("id"), "line")
+    monkeypatch.setattr(line_dedup, "SLOT_BITS", 10)
+    sent, send = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or send(df))
+    links = line_dedup.line_links(table)
+    assert len(sent) == 2 and max(sent) <= 2**10 / 64
+    hashes = [r["id"] for r in spark.createDataFrame(enumerate(lines), "n long, line string").orderBy("n").select(F.xxhash64("line").alias("id")).collect()]
+    assert {tuple(sorted(r)) for r in links.collect()} >= {tuple(sorted(x)) for x in zip(hashes, hashes[400:])}
+
+
 def test_distance_comes_after_the_filters(spark):
     """In one condition: Spark does not keep the order of several."""
     table = spark.createDataFrame([(1, "a line of some length"), (2, "a line of same length")], "id long, line string")
