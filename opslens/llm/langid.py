@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, release_memory
+from .common import map_arrow, release_memory, relieve_driver
 
 NGRAMS = (2, 3, 4)  # bytes in a subword
 LOG2 = 14  # log2 rows of the embedding table
@@ -118,6 +118,7 @@ def fit_language_model(
     counts = counts.astype(np.float32)
     bags = [(rows[lo:hi], counts[lo:hi]) for lo, hi in zip(offsets, offsets[1:])]
     del sample, lists
+    relieve_driver(labelled.sparkSession)
     kept = [i for i, (r, _) in enumerate(bags) if len(r)]
     held = set(kept[::5])  # for calibration
     train = [i for i in kept if i not in held] or kept

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import collections
+import gc
 import hashlib
 import itertools
 import random
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opslens.llm import (
-    bpe, components, cover_tree, decontaminate, hashing, langid, line_dedup, ngram_join, quality, queries, secrets,
+    bpe, common, components, cover_tree, decontaminate, hashing, langid, line_dedup, ngram_join, quality, queries, secrets,
     substring_dedup, token_stream,
 )
 from opslens.llm.common import shared_path
@@ -80,6 +81,27 @@ def test_components(spark):
 
 # --- 1 ------------------------------------------------------------------------
 
+def test_what_is_written_leaves_no_garbage_to_the_driver(spark, monkeypatch):
+    jvm = spark.sparkContext._jvm
+    monkeypatch.setattr(common, "_due", 0.0, raising=False)
+    garbage = jvm.java.lang.Object()
+    held = jvm.java.lang.ref.WeakReference(garbage)
+    del garbage
+    gc.collect()
+    assert common.written(spark.range(5), "some").count() == 5
+    assert held.get() is None
+    assert "rim" in common._trim_jvm(spark.sparkContext)  # memory trimmed, or no way to trim it
+
+
+def test_driver_is_not_relieved_all_the_time(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(common, "_due", 0.0)
+    monkeypatch.setattr(common, "_trim_jvm", asked.append)
+    for _ in range(3):
+        common.relieve_driver(spark)
+    assert len(asked) == 1
+
+
 def test_secrets(spark):
     text = 'K = "q8X2mZpL0vR7tYw3"\npassword = K\napi_key: "' + "ab12" * 8 + '" AKIA' + "A1" * 9 + " é" * 3 + " TOKEN=short\n"
     rows = secrets.secret_scan(spark.createDataFrame([(1, text), (2, None), (None, "")], "doc_id long, text string")).collect()
