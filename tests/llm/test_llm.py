@@ -411,6 +411,18 @@ def test_ngram_join(spark, monkeypatch, texts, docs, block, hot, levels):
     assert sorted(map(tuple, ngram_join.ngram_join(odd).collect()), key=str) == [(7, 2, 7), (7, 2, 7), (None, 2, None)]
 
 
+def test_driver_is_relieved_during_the_join(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(common, "RELIEF_S", 0, raising=False)
+    monkeypatch.setattr(common, "RELIEF_SHARE", 1, raising=False)
+    monkeypatch.setattr(common, "_due", 0.0, raising=False)
+    monkeypatch.setattr(common, "_trim_jvm", asked.append, raising=False)
+    rows = [(i, " ".join(f"w{j}" for j in range(40 + i % 2))) for i in range(6)]
+    out = ngram_join.ngram_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["component_id"] for r in out.collect()} == {0}
+    assert len(asked) > 5  # between its steps
+
+
 def test_parities_never_exceed_the_difference():
     rng = np.random.default_rng(3)
     sets = []
